@@ -68,7 +68,7 @@ def name_variants(x) -> Column:
 
 def split_multi(x) -> Column:
     """Values parted by | ; or , without blanks."""
-    return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), r"[|;,]"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(F.coalesce(_c(x), F.lit("")), r"[|;,]"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def parse_ts(x) -> Column:
@@ -149,7 +149,7 @@ def mask_name(x) -> Column:
 
 
 def paragraphs(x) -> Column:
-    parts = F.filter(F.transform(F.split(_c(x), r"\n+|(?<=\.)\s+(?=[A-Z\u0900-\u097F])"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(_c(x), r"\n+|(?<=\.)\s+(?=[A-Z\u0900-\u097F])"), lambda v: F.trim(v)), lambda p: p != "")
     return F.when(F.size(parts) > 0, parts).otherwise(F.array(_c(x)))
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..config import HONORIFICS
 
@@ -65,7 +66,7 @@ def name_similarity(a: str | None, b: str | None) -> float:
     return best
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def similarity(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([name_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

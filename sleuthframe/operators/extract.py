@@ -98,4 +98,4 @@ def ingest_text(docs: DataFrame, runs: DataFrame, case_id: str, source_type: str
 def extract_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The model-free extraction as native columns: phones, vehicles, persons, locations."""
     people = F.concat(S.find_all(text_col, S.NAME), S.find_all(text_col, S.DEVANAGARI_NAME))
-    return docs.withColumns({"phones": F.array_distinct(F.transform(S.find_all(text_col, S.PHONE), S.loose_phone)), "vehicles": F.array_distinct(S.find_all(text_col, S.VEHICLE_STRICT)), "persons": F.array_distinct(F.transform(people, F.trim)), "locations": F.array_distinct(F.transform(S.find_all(text_col, S.DEVANAGARI_PLACE, 1), F.trim))})
+    return docs.withColumns({"phones": F.array_distinct(F.transform(S.find_all(text_col, S.PHONE), S.loose_phone)), "vehicles": F.array_distinct(S.find_all(text_col, S.VEHICLE_STRICT)), "persons": F.array_distinct(F.transform(people, lambda v: F.trim(v))), "locations": F.array_distinct(F.transform(S.find_all(text_col, S.DEVANAGARI_PLACE, 1), lambda v: F.trim(v)))})

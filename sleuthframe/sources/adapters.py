@@ -35,8 +35,9 @@ def source_types() -> list[str]:
 def parse_rows(texts: DataFrame, schema: str, col: str = "value") -> DataFrame:
     """JSON texts, each one object or an array of objects, as rows; anything else is dropped."""
     body = F.trim(col)
-    many = F.when(body.startswith("["), F.from_json(body, f"array<struct<{schema}>>")).when(body.startswith("{"), F.array(F.from_json(body, f"struct<{schema}>")))
-    return texts.select(F.explode(F.filter(many, lambda r: r.isNotNull())).alias("r")).select("r.*")
+    many = F.when(body.startswith("["), F.from_json(body, "array<string>")).when(body.startswith("{"), F.array(body))
+    each = texts.select(F.explode(many).alias("one")).where(F.trim("one").startswith("{"))
+    return each.select(F.from_json("one", f"struct<{schema}>").alias("r")).where("r is not null").select("r.*")
 
 
 def _col(df: DataFrame, name: str, kind: str = "string") -> Column:

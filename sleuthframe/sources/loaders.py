@@ -23,7 +23,10 @@ def read_csv_text(spark: SparkSession, text: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    r = spark.read.option("multiLine", True)
+    """An array or object over many lines, or an object a line: the first line tells which."""
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    lines = bool(first) and first[0][0].strip().startswith("{") and first[0][0].strip().endswith("}")
+    r = spark.read.option("multiLine", not lines)
     return (r.schema(schema) if schema else r).json(path)
 
 
@@ -51,7 +54,7 @@ def write(df: DataFrame, path: str, kind: str = "json") -> None:
 def fir_edges(firs: DataFrame, case_id: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges): people named in one paragraph are mentioned together."""
     para = firs.select("fir_no", F.posexplode(S.paragraphs("text")).alias("n", "p"))
-    people = para.select("fir_no", "n", F.array_distinct(F.transform(F.concat(S.find_all("p", S.NAME), S.find_all("p", S.DEVANAGARI_NAME)), F.trim)).alias("who"), F.substring("p", 1, 220).alias("evidence"))
+    people = para.select("fir_no", "n", F.array_distinct(F.transform(F.concat(S.find_all("p", S.NAME), S.find_all("p", S.DEVANAGARI_NAME)), lambda v: F.trim(v))).alias("who"), F.substring("p", 1, 220).alias("evidence"))
     named = people.select("fir_no", "n", F.posexplode("who").alias("i", "name"), "evidence")
     nodes = named.select(F.lit(case_id).alias("case_id"), S.node_id(F.lit(case_id), F.lit("person"), "name").alias("id"), "name").dropDuplicates(["id"]).withColumn("entity_type", F.lit("PERSON"))
     pair = F.flatten(F.transform("who", lambda a, i: F.transform(F.filter("who", lambda b, j: j > i), lambda b: F.struct(a.alias("a"), b.alias("b")))))
