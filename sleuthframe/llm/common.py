@@ -41,6 +41,21 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a task. Python workers live on from
+    task to task, and allocators keep what they once held."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -109,7 +124,7 @@ class CachedEncoder:
     depends on its place, or grows. Texts with the separators 0x1C-0x1F, which only Python
     counts as white space, go to the library whole."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 200_000):
         import re
 
         self.tokenizer, self.most = _tokenizer(path), most

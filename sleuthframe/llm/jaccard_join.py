@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, shuffle_partitions
+from .common import Scratch, components, give_back, shuffle_partitions
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-8
 BANDS, ROWS, STEP = 32, 5, 16
@@ -206,6 +206,9 @@ def _tiles(words: int, threshold: float, tolerance: float):
                 rows.append(r)
         if rows and (out := done(rows)) is not None:
             yield out
+        rows, out = [], None
+        shingler.known = {}
+        give_back()
 
     return run
 
@@ -231,6 +234,8 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     grams = shingler(t)
                     sigs.append(minhash(grams).tobytes() if len(grams) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sigs, pa.binary())], names=["doc_id", "fp", "sig"])
+        del shingler
+        give_back()
 
     rows = scratch.save(own.mapInArrow(signed, "doc_id long, fp binary, sig binary"), "rows")
     texts = rows.where("sig is not null").groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer, encoder, text_slices
+from .common import default_tokenizer, encoder, give_back, text_slices
 
 TIERS = (512, 1024, 2048, 4096)
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, window int, step_group long, ids binary"
@@ -197,6 +197,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
                 yield from emit(False)
                 tokens = 0
         yield from emit(True)
+        del ids, packer
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(packed, SCHEMA)
 

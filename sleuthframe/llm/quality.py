@@ -32,14 +32,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import give_back, text_slices
 
 WORD_BITS, SHAPE_BITS = 18, 16
+#: Words that a Python worker keeps the shape and the hash of.
+CACHED = 1 << 16
 STEPS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 MARKS = re.compile(r"[^\w\s]+$")
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=CACHED)
 def shape(word: str) -> str:
     marks = MARKS.search(word)
     body = word[: marks.start()] if marks else word
@@ -47,7 +49,7 @@ def shape(word: str) -> str:
     return kind + (marks[0][-2:] if marks else "")
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=CACHED)
 def word_hash(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
@@ -164,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
         for ids, texts in text_slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([indicators(t).tobytes() for t in texts], pa.binary())], names=["_id", "row"])
+        give_back()
 
     # One text per id, should an id repeat: the least.
     texts = docs.select(key.alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).join(sample.select("_id"), "_id").groupBy("_id").agg(F.min("_t").alias("_t"))
@@ -181,6 +184,7 @@ def classify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
             yield pd.Series([score(t or "", model) for t in batch], dtype="float64")
+        give_back()
 
     out = docs.withColumn("score", scored(F.col(text_col).cast("string")))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
