@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, give_back, shuffle_partitions
+from .common import Scratch, components, give_back, join_hot, shuffle_partitions
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-8
 BANDS, ROWS, STEP = 32, 5, 16
@@ -247,10 +247,10 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     edges = bands.join(stars, "band").where("n != b").select(F.col("n").alias("a"), "b").distinct()
     comps = components(edges, scratch, "candidates")
     comps = scratch.save(comps.unionByName(comps.select(F.col("root").alias("node"), "root").distinct()), "components")
-    sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
+    sizes = scratch.save(comps.groupBy("root").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")), "sizes")
 
     parts = shuffle_partitions(spark)
-    members = comps.join(sizes, "root").select(F.col("node").alias("n"), F.col("root").alias("comp"), F.ceil(F.col("size") / CHUNK).cast("int").alias("chunks"))
+    members = join_hot(comps, sizes, "root", "size", comps.count()).select(F.col("node").alias("n"), F.col("root").alias("comp"), "chunks")
     chosen = texts.withColumn("n", F.xxhash64("fp")).join(members, "n").select("fp", "least", "copies", "sig", "comp", "chunks")
     # One row of each text brings its words.
     spoken = own.where(F.length("text") > 0)
@@ -266,11 +266,17 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch, "groups")
     groups = scratch.save(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
     counts = links.groupBy(F.col("node").alias("fp")).agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
-    nodes = texts.select("fp", "copies", "least").join(counts, "fp", "left").join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    classes = nodes.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first"))
-    nodes = scratch.save(nodes.join(classes, "root").select("fp", "class_id", "class_size", F.col("first.fp").alias("class_fp"), (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links")), "nodes")
-    out = scratch.save(rows.select("doc_id", "fp"), "ids").join(nodes, "fp", "left")
-    scratch.drop("rows", "texts", "components", "links")
+    nodes = scratch.save(texts.select("fp", "copies", "least").join(counts, "fp", "left").join(groups.withColumnRenamed("node", "fp"), "fp", "left"), "texts-linked")
+    linked = nodes.where("root is not null")
+    classes = linked.groupBy("root").agg(F.count("*").alias("size"), F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))["fp"].alias("class_fp"))
+    classes = scratch.save(classes, "classes")
+    linked = join_hot(linked, classes, "root", "size", groups.count())
+    alone = nodes.where("root is null").withColumns({"class_id": F.col("least"), "class_size": F.col("copies"), "class_fp": F.col("fp")})
+    nodes = linked.unionByName(alone).select("fp", "copies", "class_id", "class_size", "class_fp", (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
+    nodes = scratch.save(nodes, "nodes")
+    ids = scratch.save(rows.select("doc_id", "fp"), "ids")
+    out = join_hot(ids, nodes, "fp", "copies", ids.count(), "left")
+    scratch.drop("rows", "texts", "texts-linked", "components", "sizes", "classes", "links")
     return out.select("doc_id", F.lower(F.hex("fp")).alias("text_md5"), F.lower(F.hex(F.coalesce("class_fp", "fp"))).alias("class_md5"), F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
 
 
