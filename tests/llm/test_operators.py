@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sleuthframe.llm import exact_topk, html_text, jaccard_join, media, mixing, quality, url_filter, warc_revisits
+from sleuthframe.llm import common, exact_topk, html_text, jaccard_join, media, mixing, quality, url_filter, warc_revisits
 from sleuthframe.llm.common import Scratch, components
 
 # ---------------------------------------------------------------- Jaccard join
@@ -297,3 +297,17 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert json.dumps([k for k, _ in p.STAGES])
+
+
+@pytest.mark.parametrize("share", [3, 1000])
+def test_join_hot_equals_join(spark, monkeypatch, share):
+    """Hot, plain and missing keys; a left join keeps null and unmatched keys."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    rows = [(1, i) for i in range(20)] + [(2, 20), (2, 21), (3, 22), (None, 23), (9, 24)]
+    big = spark.createDataFrame(rows, "k int, v int")
+    small = spark.createDataFrame([(1, 20, "a"), (2, 2, "b"), (3, 1, "c")], "k int, n long, s string")
+    names = {1: "a", 2: "b", 3: "c"}
+    got = {tuple(r) for r in common.join_hot(big, small, "k", "n", len(rows), "left").collect()}
+    assert got == {(k, v, names.get(k)) for k, v in rows}
+    inner = common.join_hot(big, small, "k", "n", len(rows)).collect()
+    assert sorted(tuple(r) for r in inner) == [(k, v, names[k]) for k, v in rows if k in names]
