@@ -26,8 +26,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled by their raked probabilities."""
-    return mixing.mix(docs).where("kept").select(*docs.columns)
+    """Documents sampled by their raked probabilities, mixing.KEEP of the tokens."""
+    return mixing.mix(docs, keep=mixing.KEEP).where("kept").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

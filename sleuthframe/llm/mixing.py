@@ -2,10 +2,15 @@
 
 Token weights are counted in cells of source, language and topic. Raking scales the cells in
 turn until the weights of each dimension are in the target proportions; a cell's inclusion
-probability is its raked weight over its own tokens, scaled so that the largest is 1. Keeping
-documents by these probabilities makes the expected tokens of every source, language and topic
-stand in the target proportions. A document is kept or not by a hash of its id, so the choice
-is the same at every run.
+probability is its raked weight over its own tokens. Keeping documents by these probabilities
+makes the expected tokens of every source, language and topic stand in the target proportions.
+A document is kept or not by a hash of its id, so the choice is the same at every run.
+
+There are two scales. Without ``keep`` the largest probability is 1, so all targets are met and
+the cell that is rarest against its target decides how much of the rest is left. With ``keep``,
+the share of all tokens to keep, no cell gives more than it has: a value whose target is out of
+reach is kept whole, the others share what it lacks by their targets, and capped cells stay at
+probability 1 while the rest is raked. ``mix_report`` says which targets were not met.
 
 Only the cells are raked: their number is the product of the three dimensions' sizes, however
 many documents there are, and counting them aggregates before the shuffle. The cells sit in
@@ -31,6 +36,8 @@ TOPICS = (("abstract", r"(tion|ment|keit|heit|ción)([^\p{L}\p{N}]|$)"), ("proce
 #: Rounds of raking and of those per written table.
 ROUNDS, STRIDE = 20, 10
 SEED = "mix-1"
+#: Share of the tokens that the pipeline keeps.
+KEEP = 0.6
 #: Without given targets, a value's target is its natural share to this power, scaled.
 TEMPERATURES = {"source": 0.5, "lang": 0.9, "topic": 0.9}
 
@@ -61,8 +68,41 @@ def targets_of(cells: DataFrame, dim: str, targets: dict[str, float] | None, tem
     return weight
 
 
-def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float] | None], temperatures: dict[str, float], rounds: int = ROUNDS) -> DataFrame:
-    """Cells (dims, tokens) with the raked weight and the probability."""
+def attainable(one: DataFrame, dim: str, total: Column) -> Column:
+    """Tokens that each cell's value gives if all values give ``total``: its target's part,
+    or all it has where that is less, and the others make up for it by their targets.
+
+    Values stand in order of tokens over target; one is whole if those up to it, and the rest
+    at its ratio, take no more than the total."""
+    whole, upto = W.partitionBy(F.lit(1)), W.partitionBy(F.lit(1)).orderBy("ratio")
+    once = lambda c: F.sum(F.when(F.col("first") == 1, c))
+    t, have = F.col(f"t_{dim}"), F.col("have")
+    full = (t > 0) & (once(have).over(upto) + F.col("ratio") * (once(t).over(whole) - once(t).over(upto)) <= total)
+    one = one.withColumn("full", F.coalesce(full, F.lit(False))).withColumn("total", total)
+    free = once(F.when(~F.col("full"), t)).over(whole)
+    rest = F.col("total") - F.coalesce(once(F.when(F.col("full"), have)).over(whole), F.lit(0.0))
+    return one.withColumn(f"g_{dim}", F.when(F.col("full"), have).when(t > 0, F.least(have, t * rest / free)).otherwise(F.lit(0.0))).drop("full", "total")
+
+
+def with_goals(one: DataFrame, keep: float) -> DataFrame:
+    """The tokens to keep of each cell's values, g_source and so on, that sum to the same in
+    every dimension: ``keep`` of all, or what the values with a target have if that is less."""
+    whole = W.partitionBy(F.lit(1))
+    for d in DIMS:
+        one = one.withColumn(f"r_{d}", F.sum(F.when(F.col(f"t_{d}") > 0, F.col("tokens").cast("double"))).over(whole))
+    one = one.withColumn("goal", F.least(F.lit(float(keep)) * F.sum(F.col("tokens").cast("double")).over(whole), *[F.coalesce(f"r_{d}", F.lit(0.0)) for d in DIMS]))
+    for d in DIMS:
+        by = W.partitionBy(d)
+        first = F.row_number().over(by.orderBy(*[x for x in DIMS if x != d]))
+        one = one.withColumns({"first": first, "have": F.sum(F.col("tokens").cast("double")).over(by)})
+        one = one.withColumn("ratio", F.when(F.col(f"t_{d}") > 0, F.col("have") / F.col(f"t_{d}")).otherwise(F.lit(float("inf"))))
+        one = attainable(one, d, F.col("goal"))
+    return one.drop("first", "have", "ratio", "goal", *[f"r_{d}" for d in DIMS])
+
+
+def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float] | None], temperatures: dict[str, float], rounds: int = ROUNDS, keep: float | None = None) -> DataFrame:
+    """Cells (dims, tokens) with the raked weight, the probability and the target share of
+    each dimension's value; with ``keep`` the weight is the tokens to keep."""
     one = cells.coalesce(1)
     for d in DIMS:
         one = one.withColumn(f"t_{d}", targets_of(one, d, targets.get(d), temperatures.get(d, 0.0)))
@@ -71,14 +111,35 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]
         one = one.withColumn("first", first)
         one = one.withColumn(f"t_{d}", F.col(f"t_{d}") / F.sum(F.when(F.col("first") == 1, F.col(f"t_{d}"))).over(W.partitionBy(F.lit(1))))
     one = one.drop("first").withColumn("w", F.col("tokens").cast("double"))
+    if keep is not None:
+        one = scratch.save(with_goals(one, keep).withColumn("w", F.col("w") * float(keep)), "goals").coalesce(1)
     for k in range(rounds):
         for d in DIMS:
-            have = F.sum("w").over(W.partitionBy(d))
-            one = one.withColumn("w", F.when(have > 0, F.col("w") * F.col(f"t_{d}") / have).otherwise(F.lit(0.0)))
+            by = W.partitionBy(d)
+            if keep is None:
+                have = F.sum("w").over(by)
+                one = one.withColumn("w", F.when(have > 0, F.col("w") * F.col(f"t_{d}") / have).otherwise(F.lit(0.0)))
+            else:
+                # Falling, all cells of a value scale; rising, those that have tokens left.
+                one = one.withColumns({"have": F.sum("w").over(by), "capped": F.sum(F.when(F.col("w") >= F.col("tokens"), F.col("w")).otherwise(F.lit(0.0))).over(by)})
+                falls, free = F.col(f"g_{d}") <= F.col("have"), F.col("have") - F.col("capped")
+                factor = F.when(falls & (F.col("have") > 0), F.col(f"g_{d}") / F.col("have")).when(~falls & (free > 0), (F.col(f"g_{d}") - F.col("capped")) / free).otherwise(F.lit(1.0))
+                one = one.withColumn("w", F.least(F.col("tokens").cast("double"), F.col("w") * factor)).drop("have", "capped")
         if (k + 1) % STRIDE == 0 and k + 1 < rounds:
             one = scratch.save(one, f"cells-{k}").coalesce(1)
     g = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
-    return one.withColumn("probability", F.round(F.coalesce(g / F.max(g).over(W.partitionBy(F.lit(1))), F.lit(1.0)), 9)).select(*DIMS, "tokens", F.col("w").alias("weight"), "probability")
+    scale = F.max(g).over(W.partitionBy(F.lit(1))) if keep is None else F.lit(1.0)
+    return one.withColumn("probability", F.round(F.coalesce(g / scale, F.lit(1.0)), 9)).select(*DIMS, "tokens", F.col("w").alias("weight"), "probability", *[f"t_{d}" for d in DIMS])
+
+
+def mix_report(raked: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(dim, value, tokens, target, reached, met) of the raked cells: the target share, the
+    expected share of what is kept, and whether they differ by less than the tolerance of the
+    target."""
+    share = F.col("kept") / F.sum("kept").over(W.partitionBy("dim"))
+    rows = raked.select("tokens", (F.col("tokens") * F.col("probability")).alias("kept"), F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).alias("value"), F.col(f"t_{d}").alias("target")) for d in DIMS])).alias("e")).select("e.*", "tokens", "kept")
+    out = rows.groupBy("dim", "value").agg(F.sum("tokens").alias("tokens"), F.first("target").alias("target"), F.sum("kept").alias("kept"))
+    return out.withColumn("reached", F.coalesce(share, F.lit(0.0))).withColumn("met", F.abs(F.col("reached") - F.col("target")) <= tolerance * F.col("target")).drop("kept")
 
 
 def unit(key: Column, seed: str = SEED) -> Column:
@@ -86,19 +147,27 @@ def unit(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float] | None] | None = None, temperatures: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
-    """The input with mix_source, mix_lang, topic, tokens, probability and kept.
-
-    Targets and TEMPERATURES may be given for each dimension."""
+def mix_and_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float] | None] | None = None, temperatures: dict[str, float] | None = None, seed: str = SEED, keep: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``mix`` and the raked cells, for ``mix_report``."""
+    if keep is not None and not 0 < keep <= 1:
+        raise ValueError("keep is a share of the tokens, above 0 and at most 1")
     scratch = Scratch(docs.sparkSession, "mix")
     rows = docs.withColumns({"mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "mix_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "topic": topic_of(F.col(text_col)), "tokens": word_count(F.col(text_col))})
     cells = rows.groupBy(F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
     cells = scratch.save(cells.coalesce(1), "cells")
-    raked = scratch.save(rake(cells, scratch, targets or {}, temperatures or TEMPERATURES), "raked")
+    raked = scratch.save(rake(cells, scratch, targets or {}, temperatures or TEMPERATURES, keep=keep), "raked")
     # A row per cell; Spark broadcasts it below its own threshold and joins by shuffle beyond.
     keyed = raked.select(F.col("source").alias("mix_source"), F.col("lang").alias("mix_lang"), F.col("topic").alias("topic"), "probability")
     out = rows.drop("probability", "kept").join(keyed, ["mix_source", "mix_lang", "topic"])
-    return out.withColumn("kept", unit(F.col(id_col), seed) < F.col("probability"))
+    return out.withColumn("kept", unit(F.col(id_col), seed) < F.col("probability")), raked
+
+
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """The input with mix_source, mix_lang, topic, tokens, probability and kept.
+
+    Targets and TEMPERATURES may be given for each dimension, and ``keep``, the share of all
+    tokens to keep."""
+    return mix_and_cells(docs, *args, **options)[0]
 
 
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:

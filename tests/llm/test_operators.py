@@ -169,6 +169,49 @@ def test_mix_calibrates(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def tokens_kept(rows):
+    return sum(x.tokens * x.probability for x in rows) / sum(x.tokens for x in rows)
+
+
+def test_tiny_source_does_not_thin_the_mixture(spark):
+    import corpus_pipeline as p
+
+    rows = [(k, f"notion going word {k} " * 5, "big" if k % 3 else "small", "en" if k % 4 else "de", 1) for k in range(3000)]
+    tiny = [(-1, "word " * 20, None, "en", 1)]
+    columns = "doc_id long, text string, source string, lang string, n_chars long"
+    with_tiny = spark.createDataFrame(rows + tiny, columns)
+    kept = {x.doc_id for x in p.mix_to_targets(spark, with_tiny, "").collect()}
+    assert abs(len(kept) / len(rows) - mixing.KEEP) < 0.05 and -1 in kept
+    out, cells = mixing.mix_and_cells(with_tiny, keep=mixing.KEEP)
+    assert math.isclose(tokens_kept(out.collect()), mixing.KEEP, rel_tol=1e-4)
+    report = {(x.dim, x.value): x for x in mixing.mix_report(cells).collect()}
+    assert not report["source", ""].met and report["source", ""].reached < report["source", ""].target
+    assert math.isclose(report["source", "big"].reached / report["source", "small"].reached, report["source", "big"].target / report["source", "small"].target, rel_tol=1e-3)
+    assert all(report["lang", v].met for v in ("en", "de"))
+
+
+def test_mix_caps_and_rerakes(spark):
+    # c has a tenth of the tokens and is to give a third: it is kept whole, a and b share the rest.
+    rows = [(k, "word " * 10, "aaaaaabbbc"[k % 10], "en" if k % 7 else "de") for k in range(7000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    even = {"source": dict.fromkeys("abc", 1.0), "lang": {"en": 0.8, "de": 0.2}}
+    out, cells = mixing.mix_and_cells(docs, targets=even, keep=0.5)
+    got, expect = out.collect(), {}
+    for x in got:
+        expect[x.mix_source] = expect.get(x.mix_source, 0) + x.tokens * x.probability / 70_000
+        expect[x.mix_lang] = expect.get(x.mix_lang, 0) + x.tokens * x.probability / 70_000
+    for v, want in (("a", 0.2), ("b", 0.2), ("c", 0.1), ("en", 0.4), ("de", 0.1)):
+        assert math.isclose(expect[v], want, rel_tol=1e-3), v
+    assert max(x.probability for x in got) <= 1
+    assert {x.value for x in mixing.mix_report(cells).collect() if x.dim == "source" and not x.met} == {"a", "b", "c"}
+    # All tokens, and a value without a target.
+    assert math.isclose(tokens_kept(mixing.mix(docs, keep=1.0).collect()), 1.0)
+    none = mixing.mix(docs, targets={"source": {"b": 1.0}}, keep=0.5).collect()
+    assert math.isclose(tokens_kept(none), 0.3, rel_tol=1e-3) and {x.mix_source for x in none if x.probability > 0} == {"b"}
+    with pytest.raises(ValueError):
+        mixing.mix(docs, keep=0.0)
+
+
 def test_revisits(spark):
     kind = "record_id long, kind string, url string, fetched long, headers map<string,string>, digest string, length long, extra int"
     h = lambda **k: {a.replace("_", "-"): b for a, b in k.items()}
