@@ -6,13 +6,22 @@ footer, sidebar, notice, advert, form, script, style or reader comment. The text
 their maximum is the surge point, where they fall below it again the dive point, and of all
 such stretches the one with the most text is taken. Distribution alone would cut short
 paragraphs at either end of an article, so the stretch is widened to the innermost article,
-main or other container element around it, whose lines are the text.
+main or other container element around it, whose lines are the text. Lists, quotes, sections
+and tables are parts of a text and no containers, but a table cell with most of the page is one.
+
+A mark is a class, id or role that is a word of MARKED, or a compound with one that tells no
+layout or state ('site-footer', not 'has-sidebar'). A marked element is kept all the same if it
+holds the page's main text: a <main>, the longest article, or, on pages without an article or
+main element, most of the text outside links (<aside>, <header> and readers' words not
+counted). <aside> and <header> are kept for an article alone, readers' words also if a page
+has nothing else.
 
 Defined cases: null, empty or tagless html is one run of lines of body text (empty: the empty
 text); unclosed tags, comments and scripts run to their implied end or the end of the page;
 character references are decoded once; <br> is white space; a page without any text outside
-links, or only boilerplate, gives the empty text; repeated rows are extracted each; an empty
-table gives no rows; columns of the input other than those returned are not read."""
+links, or only menus, headers, footers and asides, gives the empty text; repeated rows are
+extracted each; an empty table gives no rows; columns of the input other than those returned
+are not read."""
 
 from __future__ import annotations
 
@@ -28,56 +37,109 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head nav footer aside form button select option dialog menu object canvas iframe noscript template svg math audio video map label input textarea".split())
 RAW = "script|style|noscript|template|textarea|iframe|svg|math"
+#: Those that can hold the main text, as a form around the whole page does.
+SOFT = frozenset(("form", "aside"))
 #: Words of class, id or role that mark what is not the article.
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription "
     "sidebar sidebars aside menu menus nav navbar navigation navi breadcrumb breadcrumbs footer header masthead toolbar topbar comment comments respond reply replies discussion disqus share sharing social "
     "related recommended recommendations widget widgets login signin signup search pagination pager skip complementary contentinfo alert form".split()
 )
+#: Words that mark by themselves or beside one of BESIDE only: 'related-posts', not 'related-work'.
+WEAK = frozenset("notice notices promotion subscribe subscription aside header comment reply replies respond discussion share sharing social related recommended recommendations login signin signup search skip alert form complementary overlay".split())
+BESIDE = frozenset("site page global main top bottom post posts article articles story stories news item items link links content list thread box bar block area section container wrapper wrap inner outer button buttons icons form field input widget title text body meta count author you more".split())
+#: Words of a compound that tell how a page is laid out, or its state.
+STATES = frozenset("has have no not non with without is open opened closed enabled disabled on off layout full hide show single supports".split())
+#: Words that, as the id of a section within an article, name a part of the text.
+CHAPTERS = WEAK | frozenset(("notification", "notifications", "advertising", "advertisement", "navigation", "consent", "search", "menu"))
+#: Marked for what readers wrote: kept only if a page holds nothing else.
+READERS = frozenset("comment comments respond reply replies disqus".split())
 #: Elements whose class says how the page is laid out, not what they hold.
 ROOTS = frozenset(("html", "body", "article", "main"))
+#: Parts of a text: the stretch is widened beyond them.
+PARTS = frozenset("p h1 h2 h3 h4 h5 h6 li pre td th dt dd ul ol dl section blockquote table thead tbody tfoot tr caption figure figcaption center details summary".split())
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:\s|^)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+WORD = re.compile(r"[^a-z0-9]+")
+
+
+def _is_mark(token: str) -> bool:
+    words = [w for w in WORD.split(token) if w]
+    found = MARKED.intersection(words)
+    if not found or len(words) == 1:
+        return bool(found)
+    if not STATES.isdisjoint(words):
+        return False
+    return not found <= WEAK or all(w in MARKED or w in BESIDE or w.isdigit() for w in words)
 
 
 @functools.lru_cache(maxsize=4096)
-def _marked(attributes: str) -> bool:
-    if HIDDEN.search(attributes):
-        return True
+def _marks(attributes: str) -> tuple[bool, bool, bool]:
+    """Of an element's attributes: whether they mark it, whether anything but an id that can
+    name a chapter does, and whether they mark what readers wrote."""
+    marked = firm = readers = False
     for m in ATTRIBUTE.finditer(attributes):
-        if not MARKED.isdisjoint(re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return False
+        for token in (m[2] or m[3] or m[4] or "").lower().split():
+            if _is_mark(token):
+                words = set(WORD.split(token))
+                marked = True
+                firm |= m[1].lower() != "id" or not MARKED & words <= CHAPTERS
+                readers |= bool(READERS & words)
+    return marked, firm, readers
+
+
+class _Mark:
+    """A marked element: the characters outside links in it and in its longest article.
+    ``tag`` is one that its name alone marks, ``readers`` that readers wrote it."""
+
+    __slots__ = ("tag", "readers", "free", "main", "article")
+
+    def __init__(self, tag: bool, readers: bool):
+        self.tag, self.readers, self.free, self.main, self.article = tag, readers, 0, False, 0
 
 
 def lines_of(html: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
     """(containers from the outside in, text, characters outside links) of each block that is
     not boilerplate."""
-    stack: list[tuple[str, int, bool]] = []
-    out, held, free = [], [], 0
-    number = dropped = links = at = 0
+    stack: list[tuple[str, int, bool, _Mark | None]] = []
+    marks: tuple[_Mark, ...] = ()
+    every: list[_Mark] = []
+    articles: dict[int, tuple[tuple[_Mark, ...], list[int]]] = {}
+    out, held = [], []
+    number = dropped = links = at = total = own = bare = 0
 
     def flush() -> None:
-        nonlocal held, free
+        nonlocal held
         if held:
-            text = " ".join("".join(held).split())
-            if text:
-                out.append((tuple((t, n) for t, n, _ in stack), text, free))
-        held, free = [], 0
+            out.append((tuple((t, n) for t, n, *_ in stack), held))
+        held = []
 
     def pop(depth: int) -> None:
-        nonlocal dropped
+        nonlocal dropped, marks
         while len(stack) > depth:
-            dropped -= stack.pop()[2]
+            _, _, drop, mark = stack.pop()
+            dropped -= drop
+            if mark:
+                marks = marks[:-1]
 
     def words(raw: str) -> None:
-        nonlocal free
+        nonlocal total, own, bare
         if raw and not dropped:
             text = unescape(raw)
-            held.append(text)
-            if not links:
-                free += len(text)
+            size = 0 if links else len(text)
+            held.append((text, size, marks))
+            size = 0 if links else len(text.strip())
+            plain = not any(mark.tag or mark.readers for mark in marks)
+            total += size
+            own += size if plain else 0
+            bare += 0 if marks else size
+            for mark in marks:
+                mark.free += size if plain or mark.readers else 0
+            if articles:
+                for _, n, *_ in stack:
+                    if n in articles:
+                        articles[n][1][0] += size
 
     for m in TOKEN.finditer(html):
         words(html[at : m.start()])
@@ -98,7 +160,7 @@ def lines_of(html: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
                 links = 0
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if depth is not None:
-                flush() if stack[depth][2] else None
+                flush() if stack[depth][2] or stack[depth][3] else None
                 pop(depth)
             continue
         block = tag in BLOCKS
@@ -110,18 +172,52 @@ def lines_of(html: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
             if tag == "body":
                 pop(next((k for k, x in enumerate(stack) if x[0] == "head"), len(stack)))
         inside = any(x[0] in ("article", "main") for x in stack)
-        drop = tag in DROPPED or tag == "header" and not inside or tag not in ROOTS and bool(attributes) and _marked(attributes.strip())
+        attributes = attributes.strip()
+        marked, firm, readers = _marks(attributes) if attributes and tag not in ROOTS else (False, False, False)
+        if inside and tag == "section":
+            marked = firm
+        soft = marked or tag in SOFT or tag == "header" and not inside
+        drop = tag in DROPPED and tag not in SOFT or tag not in ROOTS and bool(attributes) and bool(HIDDEN.search(attributes))
         if tag in VOID or attributes.endswith("/") and not block:
             continue
-        if block or drop:
-            if drop and not block:
-                held.append(" ")
+        if block or drop or soft:
+            if (drop or soft) and not block:
+                held.append((" ", 0, marks))
             number += 1
-            stack.append((tag, number, drop))
+            mark = _Mark(tag in ("aside", "header"), readers) if soft and not drop else None
+            if mark:
+                marks += (mark,)
+                every.append(mark)
+            stack.append((tag, number, drop, mark))
             dropped += drop
+            if tag in ("article", "main") and not dropped:
+                articles[number] = marks, [0]
+                for x in marks:
+                    x.main |= tag == "main"
     words(html[at:])
     flush()
-    return out
+    gone = _gone(every, list(articles.values()), total, own, bare)
+    return [line for path, parts in out if (line := _line(path, parts, gone))]
+
+
+def _gone(every: list[_Mark], articles: list[tuple[tuple[_Mark, ...], list[int]]], total: int, own: int, bare: int) -> set[_Mark]:
+    """The marked elements that are dropped. ``own`` counts the characters that are not in
+    asides, headers or readers' words, ``bare`` those outside all marks."""
+    for around, (size,) in articles:
+        for mark in around:
+            mark.article = max(mark.article, size)
+    outside = max((size for around, (size,) in articles if not around), default=0)
+
+    held = {mark for mark in every if mark.main and mark.free or mark.article > (max(outside, bare) if mark.readers else outside)}
+    if not held and not outside:
+        held = {mark for mark in every if not mark.tag and (mark.free == total > 0 if mark.readers else 2 * mark.free > own)}
+    return set(every) - held
+
+
+def _line(path: tuple[tuple[str, int], ...], parts: list[tuple[str, int, tuple[_Mark, ...]]], gone: set[_Mark]) -> tuple[tuple[tuple[str, int], ...], str, int] | None:
+    parts = [p for p in parts if gone.isdisjoint(p[2])] if gone else parts
+    text = " ".join("".join([p[0] for p in parts]).split())
+    return (path, text, sum(p[1] for p in parts)) if text else None
 
 
 def bounds(lengths: list[int], window: int = 3, share: float = 0.3) -> tuple[int, int] | None:
@@ -154,7 +250,11 @@ def main_text(html: str | None, window: int = 3, share: float = 0.3) -> str:
         return ""
     a, b = lines[found[0]][0], lines[found[1]][0]
     common = [x for x, y in zip(a, b, strict=False) if x == y]
-    while common and common[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "td", "th", "dt", "dd"):
+    total = sum(n for _, _, n in lines)
+    while common and common[-1][0] in PARTS:
+        own = [path for path, _, n in lines if path[: len(common)] == tuple(common)] if common[-1][0] == "td" else []
+        if len({path for path in own if len(path) > len(common)}) > 1 and 2 * sum(n for path, _, n in lines if path[: len(common)] == tuple(common)) > total:
+            break
         common.pop()
     for k, (tag, _) in enumerate(common):
         if tag in ("article", "main"):

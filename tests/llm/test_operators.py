@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -129,6 +130,48 @@ def test_html_article(tag):
     assert html_text.main_text(PAGE % body).split("\n\n") == want
 
 
+WANT = ["A title", "Short.", "First & bold text with enough words to be the surge of this page, surely.", "Second with words that go on and on until they are many. More", "Third paragraph, unclosed, is as long as any other of them.", "End."]
+
+
+@pytest.mark.parametrize("wrapper", ['div class="layout has-sidebar"', 'div class="no-sidebar"', 'div class="single comments-open"', 'div id=x class="page no-ads"', 'div class="content sidebar"', 'section class="widget"', 'form id="aspnetForm"', 'div class="comments"'])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_html_wrappers_are_kept(wrapper, tag):
+    if tag == "div" and wrapper.endswith('"comments"'):
+        return  # readers' words beside other text are no article
+    body = f"<{wrapper}>{ARTICLE.replace('{0}', tag)}</{wrapper.split()[0]}>"
+    assert html_text.main_text(PAGE % body).split("\n\n") == WANT
+
+
+def test_html_chapters_and_boilerplate():
+    para = "<p>%s paragraph has as many words as are needed for a text of some length.</p>"
+    text = lambda *names: "\n\n".join(re.sub("<[^>]*>", "", para % n) for n in names)
+    page = f'<body><article>{para % "First"}<section id="discussion">{para % "Second"}</section><section id="related-work">{para % "Third"}</section><div class="related-work">{para % "Fourth"}</div>'
+    junk = "".join(f'<div class="{c}">{para % "Junk"}</div>' for c in ("ad", "site-footer", "cookie-banner", "related-posts", "share-buttons", "comment-list", "left sidebar", "post__comments")) + f'<span class="share">x</span><section class="related">{para % "Junk"}</section><button class="share">Share</button>'
+    assert html_text.main_text(f"{page}{junk}</article>{junk}</body>") == text("First", "Second", "Third", "Fourth")
+    # Teasers and comments that are articles themselves, beside the page's article.
+    teaser = f'<div class="related-posts"><article>{para % "Junk"}</article></div><ol class="comment-list"><li><article>{para % "Junk"}</article></li></ol>'
+    assert html_text.main_text(f"<article>{para % 'First'}{para % 'Second'}</article>{teaser}") == text("First", "Second")
+    long = f'<div id="comments">{(para % "Junk") * 9}</div>'
+    assert html_text.main_text(f"<div>{para % 'First'}{para % 'Second'}</div>{long}") == text("First", "Second")
+    assert html_text.main_text(f"<header>{para % 'Junk'}</header><aside>{para % 'Junk'}</aside><footer>x</footer>") == ""
+
+
+def test_html_widens_beyond_parts():
+    long = "Item %d has as many words as are needed for a stretch of text that is longer than others."
+    items = [long % k for k in range(6)]
+    wrap = {
+        "ul": "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>", "ol": "<ol>" + "".join(f"<li>{x}</li>" for x in items) + "</ol>",
+        "section": "<section>" + "".join(f"<p>{x}</p>" for x in items) + "</section>", "blockquote": "<blockquote>" + "".join(f"<p>{x}</p>" for x in items) + "</blockquote>",
+        "table": "<table><tbody>" + "".join(f"<tr><td>{x}</td></tr>" for x in items) + "</tbody></table>",
+    }
+    for name, inner in wrap.items():
+        page = f'<body><nav>Menu</nav><div class="content"><h1>Title</h1><p>Short.</p>{inner}<p>End.</p></div><footer>x</footer></body>'
+        assert html_text.main_text(page).split("\n\n") == ["Title", "Short.", *items, "End."], name
+    # A cell of a table that lays out the page is a container.
+    page = f"<table><tr><td>Left</td><td><h1>Title</h1>{''.join(f'<p>{x}</p>' for x in items)}<p>End.</p></td></tr></table>"
+    assert html_text.main_text(page).split("\n\n") == ["Title", *items, "End."]
+
+
 def test_html_odd_pages(spark):
     for html, want in (("", ""), (None, ""), ("just text", "just text"), ("<p>a<p>b", "a\n\nb"), ("<article>x</article>", "x"), ("<a href=x>only link</a>", ""), ("<script>unclosed <p>x", ""), ("<!-- open <p>x", ""), ("a < b & c", "a < b & c"), ("<p title='a>b'>q</p>", "q"), ("<p>&lt;p&gt; &amp;amp;</p>", "<p> &amp;")):
         assert html_text.main_text(html) == want, html
