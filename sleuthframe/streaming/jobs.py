@@ -16,7 +16,11 @@ def dedup_texts(stream: DataFrame, delay: str = "7 days") -> DataFrame:
 
 
 def burner_windows(edges: DataFrame, hours: int = 72, slide: str = "6 hours", peers: int = 5, delay: str = "6 hours") -> DataFrame:
-    """Sliding windows in which a node calls many parties; the count of parties is approximate."""
+    """Sliding windows in which a node calls many parties; the count of parties is approximate.
+
+    Windows start at multiples of the slide. Parties met within ``hours`` less a slide always
+    share a window; those met over a longer stretch, up to ``hours``, do so only if a start
+    happens to fit, where the batch operator's exact trailing window finds them all."""
     ends = both_ends(edges.where("is_call")).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", delay)
     g = ends.groupBy("case_id", "node", F.window("at", f"{hours} hours", slide)).agg(F.approx_count_distinct("peer").alias("call_degree"))
     return g.where(F.col("call_degree") >= peers)
