@@ -84,6 +84,8 @@ def merge_map(pairs: DataFrame, rounds: int = 30) -> DataFrame:
         label = new.drop("moved")
         if not new.where("moved").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"merging did not settle in {rounds} rounds")
     return label
 
 

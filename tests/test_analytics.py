@@ -133,6 +133,13 @@ def test_resolution(spark):
     assert name_similarity("R. Kumar", "Ramesh Kumar") >= 85
 
 
+def test_merge_map_settles_or_raises(spark):
+    chain = spark.createDataFrame([("c", f"p{k:02d}", f"p{k + 1:02d}", "auto_r1") for k in range(20)], "case_id string, a string, b string, rule string")
+    with pytest.raises(RuntimeError):
+        resolve.merge_map(chain, rounds=1)
+    assert {x.survivor for x in resolve.merge_map(chain).collect()} == {"p00"}
+
+
 def test_extraction(spark):
     assert len(extract.anchors("call +91 98765 43210 or 09876543210 or 91-9876543210 ok")) == 3
     assert len(extract.anchors("plates DL-01-AB-4402 and MH 12 CD 3456 seen")) == 2
