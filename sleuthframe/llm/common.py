@@ -1,44 +1,27 @@
 """Shared plumbing of the training-data operators: scratch tables in the cluster's shared
-folder, connected components over DataFrames, and the word-cached tokenizer."""
+folder, names that clash with no column, and the word-cached tokenizer."""
 
 from __future__ import annotations
 
 import functools
-import uuid
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-#: Used only where the session names no shared folder, as in tests on one machine.
-LOCAL_SCRATCH = "file:///tmp/checkpoints"
+from ..scratch import Scratch, components, shared_dir
 
+__all__ = ["Scratch", "components", "shared_dir"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    return (found or LOCAL_SCRATCH).rstrip("/")
 
-
-class Scratch:
-    """Written tables that cut lineage. They live in the shared folder, so they outlast any
-    executor; ``drop`` removes those that nothing reads any more."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/sleuthframe/{label}-{uuid.uuid4().hex[:12]}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(conf).delete(path, True)
+def unused(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores as no column (in any case of letters) has."""
+    held, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
 
 
 def give_back() -> None:
@@ -60,52 +43,6 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: A key with more than one row in so many is hot; fewer keys than that can be.
-HOT_SHARE = 1000
-
-
-def join_hot(big: DataFrame, small: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
-    """``big`` joined with ``small`` (one row per key) so that no key's rows meet in one task.
-
-    ``weight`` is the number of rows that the key has in ``big`` and ``total`` their sum. Keys
-    above total / HOT_SHARE are fewer than HOT_SHARE whatever the data, so they are broadcast
-    and their rows stay where they are; the rest is shuffled. ``weight`` is not returned."""
-    limit = total / HOT_SHARE
-    fields = [c for c in small.columns if c not in (key, weight)]
-    named = small.select(key, F.col(weight).alias("_w"), *fields)
-    hot = F.broadcast(named.where(F.col("_w") > limit).withColumn("_hot", F.lit(True)))
-    at_once = big.join(hot, key, "inner").drop("_w", "_hot")
-    marked = big.join(hot.select(key, "_hot"), key, "left_anti")
-    return at_once.unionByName(marked.join(named.where(F.col("_w") <= limit).drop("_w"), key, how))
-
-
-def components(edges: DataFrame, scratch: Scratch, label: str, rounds: int = 40) -> DataFrame:
-    """Connected components of ``edges(a, b)``: rows (node, root), root being the least node.
-
-    Alternates the large-star and small-star steps; each round is a written table, so a lost
-    executor repeats one round at most. Nodes without an edge have no row. Minima are
-    aggregated before they are joined back, so a hub costs one row per task, and a hub's edges
-    are not gathered for that join."""
-    pairs = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs = scratch.save(pairs, f"{label}-0")
-    before, edges_now = None, pairs.count()
-    for k in range(1, rounds + 1):
-        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.sum((F.col("b") > F.col("a")).cast("long")).alias("w")).select("a", F.least("a", "m").alias("m"), "w")
-        large = join_hot(both.where("b > a"), least, "a", "w", edges_now).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e"))
-        pairs = scratch.save(small.select("e.a", "e.b").where("a != b").distinct(), f"{label}-{k}")
-        scratch.drop(f"{label}-{k - 1}")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            break
-        before, edges_now = tuple(now), now[0]
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-
-
 # ---------------------------------------------------------------- tokenizing
 
 

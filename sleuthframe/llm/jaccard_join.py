@@ -6,16 +6,19 @@ links join different texts.
 
 1. Every text gets 160 MinHash values. 32 bands of five make candidates: texts that share a
    band. At a similarity of 0.8 a pair shares none with probability 3e-6, above it with less.
-2. Bands tie texts into candidate components, by stars and not by pairs; all links lie inside.
-3. A component is dealt into chunks, and each pair of chunks is a tile. In a tile the MinHash
-   values of all pairs are compared 16 at a time, and a pair is dropped as soon as the
-   posterior probability that its similarity reaches the threshold (uniform prior) falls below
-   the tolerance of 1e-8.
+2. The least text of a band is its star, and a text goes to each of its stars once: texts
+   alike mostly share one or two. A pair is looked at in the least of the stars it shares, so
+   once. Nothing is closed over bands, and loosely alike texts make no chains.
+3. The texts of a star are dealt into chunks of bounded number and size, and each pair of
+   chunks is a tile. In a tile the MinHash values of all pairs are compared 16 at a time, and a
+   pair is dropped as soon as the posterior probability that its similarity reaches the
+   threshold (uniform prior) falls below the tolerance of 1e-8.
 4. The rest is verified exactly on the sets (64-bit hashes of the n-grams). A tile returns for
    each text the count of its links and one link that ties it to the tile's group, never pairs.
 
-Large groups so spread over many tiles of bounded size, and nothing grows with a group's
-square but the work of comparing it.
+A star of one chunk, as nearly all are, sends a text once. Counting all links of a larger
+group of different texts needs every two of them side by side once, so there a text is sent
+once for each chunk of its star; exact copies are one text and count as one.
 
 Defined cases: null, empty and blank texts have no n-gram, no link and are each a class of
 their own; a repeated row is a copy (or, if blank, a class of its own like its twin); null ids
@@ -32,11 +35,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, give_back, join_hot, shuffle_partitions
+from .common import Scratch, components, give_back, shuffle_partitions, unused
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-8
 BANDS, ROWS, STEP = 32, 5, 16
-CHUNK = 128
+#: Texts and characters of a chunk, and texts of a block that is compared at once.
+CHUNK, CHUNK_CHARS, BLOCK = 512, 4_000_000, 128
 _MASK = (1 << 64) - 1
 
 
@@ -142,14 +146,17 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray], pairs: np.ndarray) -
     return total[pairs[:, 0], pairs[:, 1]].astype(np.int64)
 
 
-def tile_links(a: list[np.ndarray], b: list[np.ndarray] | None, sig_a: np.ndarray, sig_b: np.ndarray | None, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> np.ndarray:
-    """Verified links of a tile as (i, j); without ``b`` those inside ``a``, i < j."""
+def tile_links(a: list[np.ndarray], b: list[np.ndarray] | None, sig_a: np.ndarray, sig_b: np.ndarray | None, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, elsewhere=None) -> np.ndarray:
+    """Verified links of a block as (i, j); without ``b`` those inside ``a``, i < j. Pairs that
+    ``elsewhere(i, j)`` holds are looked at in another tile."""
     same = b is None
     alive = surviving(sig_a, sig_a if same else sig_b, threshold, tolerance)
     if same:
         alive = np.triu(alive, 1)
         b = a
     pairs = np.argwhere(alive)
+    if elsewhere and len(pairs):
+        pairs = pairs[[not elsewhere(i, j) for i, j in pairs.tolist()]]
     if not len(pairs):
         return pairs
     size_a, size_b = np.array([len(x) for x in a])[pairs[:, 0]], np.array([len(x) for x in b])[pairs[:, 1]]
@@ -158,6 +165,46 @@ def tile_links(a: list[np.ndarray], b: list[np.ndarray] | None, sig_a: np.ndarra
     return pairs[(both * limit.denominator >= (size_a + size_b - both) * limit.numerator) & (both > 0)]
 
 
+class _Side:
+    """The texts of one side of a tile."""
+
+    def __init__(self, rows: list[dict], shingler: Shingler):
+        rows.sort(key=lambda r: r["fp"])
+        self.rows = rows
+        self.grams = [shingler(r["text"]) for r in rows]
+        self.sigs = np.frombuffer(b"".join(r["sig"] for r in rows), "<u4").reshape(len(rows), BANDS * ROWS)
+        self.less = [frozenset(r["less"]) for r in rows]
+
+
+def side_links(one: _Side, other: _Side | None, threshold: float, tolerance: float) -> np.ndarray:
+    """Links of a tile, block by block; without ``other`` those inside ``one``."""
+    out, right = [], other or one
+    for i in range(0, len(one.rows), BLOCK):
+        for j in range(0 if other else i, len(right.rows), BLOCK):
+            a, b = slice(i, i + BLOCK), slice(j, j + BLOCK)
+            shared = lambda x, y, i=i, j=j: not one.less[i + x].isdisjoint(right.less[j + y])
+            if other is None and i == j:
+                found = tile_links(one.grams[a], None, one.sigs[a], None, threshold, tolerance, shared)
+            else:
+                found = tile_links(one.grams[a], right.grams[b], one.sigs[a], right.sigs[b], threshold, tolerance, shared)
+            if len(found):
+                out.append(found + [i, j])
+    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+
+
+def least_linked(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of so many places the least one that links tie it to."""
+    root = np.arange(count)
+    while True:
+        new = root.copy()
+        np.minimum.at(new, left, root[right])
+        np.minimum.at(new, right, root[left])
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _tiles(words: int, threshold: float, tolerance: float):
     """Streams rows sorted by tile; one tile is in memory at a time."""
 
@@ -171,9 +218,8 @@ def _tiles(words: int, threshold: float, tolerance: float):
             sides = [[r for r in rows if r["side"] == s] for s in (0, 1)]
             if not sides[0] or rows[0]["p"] != rows[0]["q"] and not sides[1]:
                 return None
-            grams = [[shingler(r["text"]) for r in s] for s in sides]
-            sigs = [np.frombuffer(b"".join(r["sig"] for r in s), "<u4").reshape(len(s), BANDS * ROWS) for s in sides]
-            links = tile_links(grams[0], grams[1] if sides[1] else None, sigs[0], sigs[1] if sides[1] else None, threshold, tolerance)
+            one, other = _Side(sides[0], shingler), _Side(sides[1], shingler) if sides[1] else None
+            links = side_links(one, other, threshold, tolerance)
             if not len(links):
                 return None
             every = sides[0] + sides[1]
@@ -181,22 +227,18 @@ def _tiles(words: int, threshold: float, tolerance: float):
             copies = np.array([r["copies"] for r in every])
             texts = np.bincount(left, minlength=len(every)) + np.bincount(right, minlength=len(every))
             docs = np.bincount(left, copies[right], len(every)) + np.bincount(right, copies[left], len(every))
-            root = np.arange(len(every))  # labels settle at each group's first row
-            while True:
-                new = root.copy()
-                np.minimum.at(new, left, root[right])
-                np.minimum.at(new, right, root[left])
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
             own = np.flatnonzero(texts)
-            return pa.RecordBatch.from_arrays([pa.array([every[k]["fp"] for k in own], pa.binary()), pa.array([every[root[k]]["fp"] for k in own], pa.binary()), pa.array(texts[own].astype(np.int64)), pa.array(docs[own].astype(np.int64))], schema=schema)
+            root = least_linked(len(every), left, right)
+            best: dict[int, bytes] = {}  # of each group the least text, so that tiles agree
+            for k in own:
+                best[root[k]] = min(best.get(root[k], every[k]["fp"]), every[k]["fp"])
+            cols = [pa.array([every[k]["fp"] for k in own], pa.binary()), pa.array([best[root[k]] for k in own], pa.binary()), pa.array(texts[own].astype(np.int64)), pa.array(docs[own].astype(np.int64))]
+            return pa.RecordBatch.from_arrays(cols, schema=schema)
 
         rows, now = [], None
         for batch in batches:
             for r in batch.to_pylist():
-                key = r["comp"], r["p"], r["q"]
+                key = r["star"], r["p"], r["q"]
                 if key != now and rows:
                     out = done(rows)
                     if out is not None:
@@ -213,81 +255,109 @@ def _tiles(words: int, threshold: float, tolerance: float):
     return run
 
 
-def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per document: doc_id, text_md5, class_id (least id of the documents tied by
-    links), class_md5 (the text of that document), class_size, n_links (other documents linked to it, copies included),
-    n_text_links (different texts linked to its own)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    own = own.withColumn("fp", F.unhex(F.md5("text")))
+def _signed(words: int):
+    """(doc_id, fp, signature, characters) of documents; a task signs a repeated text once."""
 
-    def signed(batches: Iterator) -> Iterator:
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        shingler = Shingler(words)
+        shingler, seen = Shingler(words), {}
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                sigs = []
-                for t in part.column(1).to_pylist():
-                    grams = shingler(t)
-                    sigs.append(minhash(grams).tobytes() if len(grams) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sigs, pa.binary())], names=["doc_id", "fp", "sig"])
-        del shingler
+                sigs, sizes = [], []
+                for fp, t in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    if fp not in seen:
+                        if len(seen) >= 4096:
+                            seen.clear()
+                        grams = shingler(t)
+                        seen[fp] = minhash(grams).tobytes() if len(grams) else None
+                    sigs.append(seen[fp])
+                    sizes.append(len(t))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "fp", "sig", "chars"])
+        del shingler, seen
         give_back()
 
-    rows = scratch.save(own.mapInArrow(signed, "doc_id long, fp binary, sig binary"), "rows")
-    texts = rows.where("sig is not null").groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"))
-    texts = scratch.save(texts, "texts")
+    return run
 
-    # Candidate components: each band's texts hang on the least of them.
-    bands = texts.select(F.xxhash64("fp").alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substr("sig", k * (4 * ROWS) + 1, F.lit(4 * ROWS))))).select("n", F.xxhash64("pos", "col").alias("band"))
-    stars = bands.groupBy("band").agg(F.count("*").alias("m"), F.min("n").alias("b")).where("m > 1").select("band", "b")
-    edges = bands.join(stars, "band").where("n != b").select(F.col("n").alias("a"), "b").distinct()
-    comps = components(edges, scratch, "candidates")
-    comps = scratch.save(comps.unionByName(comps.select(F.col("root").alias("node"), "root").distinct()), "components")
-    sizes = scratch.save(comps.groupBy("root").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")), "sizes")
 
-    parts = shuffle_partitions(spark)
-    members = join_hot(comps, sizes, "root", "size", comps.count()).select(F.col("node").alias("n"), F.col("root").alias("comp"), "chunks")
-    chosen = texts.withColumn("n", F.xxhash64("fp")).join(members, "n").select("fp", "least", "copies", "sig", "comp", "chunks")
+def candidates(texts: DataFrame, scratch: Scratch, chunk: int, chunk_chars: int) -> DataFrame:
+    """Of each text that shares a band (fp, least, copies, sig, stars): its stars with the
+    number of chunks that the star's texts are dealt into. All joins are of written tables, so
+    the planner may split a frequent band or star over tasks."""
+    cut = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substr("sig", k * (4 * ROWS) + 1, F.lit(4 * ROWS)))
+    bands = texts.select(F.xxhash64("fp").alias("n"), F.posexplode(cut)).select("n", F.xxhash64("pos", "col").alias("band"))
+    stars = bands.groupBy("band").agg(F.count("*").alias("m"), F.min("n").alias("star")).where("m > 1")
+    stars = scratch.save(stars.select("band", "star"), "stars")
+    held = scratch.save(bands.join(stars, "band").groupBy("n").agg(F.collect_set("star").alias("stars")), "held")
+    chosen = scratch.save(texts.withColumn("n", F.xxhash64("fp")).join(held, "n"), "chosen")
+    spread = chosen.select("fp", "chars", F.explode("stars").alias("star"))
+    chunks = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("chars") / chunk_chars)).cast("int")
+    sizes = scratch.save(spread.groupBy("star").agg(chunks.alias("chunks")).where("chunks > 1"), "sizes")
+    places = spread.join(sizes, "star", "left").groupBy("fp").agg(F.collect_list(F.struct("star", F.coalesce("chunks", F.lit(1)).alias("chunks"))).alias("stars"))
+    return scratch.save(chosen.drop("stars", "n", "chars").join(places, "fp"), "candidates")
+
+
+def link_texts(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: float, tolerance: float, chunk: int = CHUNK, chunk_chars: int = CHUNK_CHARS) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, sig) of every document, and of every text with words (fp, copies, least,
+    class_id, class_size, class_fp, n_links, n_text_links)."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = own.withColumn("fp", F.unhex(F.md5("text")))
+    rows = scratch.save(own.mapInArrow(_signed(words), "doc_id long, fp binary, sig binary, chars long"), "rows")
+    texts = rows.where("sig is not null").groupBy("fp").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.first("sig").alias("sig"), F.first("chars").alias("chars"))
+    texts = scratch.save(texts, "texts")
+    chosen = candidates(texts, scratch, chunk, chunk_chars)
+
     # One row of each text brings its words.
     spoken = own.where(F.length("text") > 0)
-    chosen = spoken.join(chosen, (spoken["fp"] == chosen["fp"]) & spoken["doc_id"].eqNullSafe(chosen["least"])).select(chosen["fp"], "copies", "sig", "comp", "chunks", "text").dropDuplicates(["fp"])
+    chosen = spoken.join(chosen, (spoken["fp"] == chosen["fp"]) & spoken["doc_id"].eqNullSafe(chosen["least"])).select(chosen["fp"], "copies", "sig", "stars", "text").dropDuplicates(["fp"])
+    dealt = chosen.withColumn("to", F.explode("stars")).select("fp", "copies", "sig", "text", "to.star", "to.chunks", F.filter(F.col("stars")["star"], lambda s: s < F.col("to.star")).alias("less"))
     mine = F.pmod(F.xxhash64(F.col("fp"), F.lit(5)), F.col("chunks")).cast("int")
-    dealt = chosen.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("fp", "copies", "sig", "comp", "text", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"))
-    # Tiles of a component lie on partitions next to one another.
-    place = F.pmod(F.xxhash64("comp") % 1_000_003 + F.expr("q * (q + 1) div 2") + F.col("p"), F.lit(parts)).cast("int")
-    tiled = dealt.repartitionById(parts, place).sortWithinPartitions("comp", "p", "q")
+    dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("fp", "copies", "sig", "star", "less", "text", F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).alias("side"))
+    # Tiles of a star lie on partitions next to one another.
+    parts = shuffle_partitions(spark)
+    place = F.pmod(F.xxhash64("star") % 1_000_003 + F.expr("q * (q + 1) div 2") + F.col("p"), F.lit(parts)).cast("int")
+    tiled = dealt.repartitionById(parts, place).sortWithinPartitions("star", "p", "q")
     links = scratch.save(tiled.mapInArrow(_tiles(words, threshold, tolerance), "node binary, root binary, texts long, documents long"), "links")
 
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch, "groups")
-    groups = scratch.save(groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()), "groups")
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
     counts = links.groupBy(F.col("node").alias("fp")).agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
-    nodes = scratch.save(texts.select("fp", "copies", "least").join(counts, "fp", "left").join(groups.withColumnRenamed("node", "fp"), "fp", "left"), "texts-linked")
-    linked = nodes.where("root is not null")
-    classes = linked.groupBy("root").agg(F.count("*").alias("size"), F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))["fp"].alias("class_fp"))
-    classes = scratch.save(classes, "classes")
-    linked = join_hot(linked, classes, "root", "size", groups.count())
-    alone = nodes.where("root is null").withColumns({"class_id": F.col("least"), "class_size": F.col("copies"), "class_fp": F.col("fp")})
-    nodes = linked.unionByName(alone).select("fp", "copies", "class_id", "class_size", "class_fp", (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
+    linked = scratch.save(texts.select("fp", "copies", "least").join(counts, "fp").join(groups, "fp"), "linked")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
+    classes = scratch.save(linked.groupBy("root").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size"), first["fp"].alias("class_fp")), "classes")
+    judged = linked.join(classes, "root").select("fp", "texts", "documents", "class_id", "class_size", "class_fp")
+    nodes = texts.select("fp", "copies", "least").join(judged, "fp", "left")
+    none = F.col("class_fp").isNull()
+    nodes = nodes.select("fp", "copies", "least", F.when(none, F.col("least")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"), F.coalesce("class_fp", "fp").alias("class_fp"), (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
     nodes = scratch.save(nodes, "nodes")
-    ids = scratch.save(rows.select("doc_id", "fp"), "ids")
-    out = join_hot(ids, nodes, "fp", "copies", ids.count(), "left")
-    scratch.drop("rows", "texts", "texts-linked", "components", "sizes", "classes", "links")
+    scratch.drop("texts", "stars", "held", "chosen", "sizes", "candidates", "links", "linked", "classes")
+    return rows, nodes
+
+
+def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One row per document: doc_id, text_md5, class_id (least id of the documents tied by
+    links), class_md5 (the text of that document), class_size, n_links (other documents linked to it, copies included),
+    n_text_links (different texts linked to its own)."""
+    rows, nodes = link_texts(docs, id_col, text_col, words, threshold, tolerance)
+    out = rows.select("doc_id", "fp").join(nodes, "fp", "left")
     return out.select("doc_id", F.lower(F.hex("fp")).alias("text_md5"), F.lower(F.hex(F.coalesce("class_fp", "fp"))).alias("class_md5"), F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).alias("n_text_links"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input's rows, one of each class: that of the least id. Rows without words all stay,
-    but for repeats of one id."""
-    found = join_documents(docs, id_col, text_col, **options)
-    first = found.where((F.col("text_md5") == F.col("class_md5")) & F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_fp")).distinct()
-    marked = docs.withColumns({"_key": F.col(id_col).cast("long"), "_md5": F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    kept = marked.join(first, (F.col("_md5") == F.col("_fp")) & F.col("_key").eqNullSafe(F.col("_id")), "left_semi")
-    return kept.dropDuplicates(["_md5", "_key"]).select(*docs.columns)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """The input's rows with all their columns, one of each class: that of the least id. Rows
+    without words all stay."""
+    rows, nodes = link_texts(docs, id_col, text_col, words, threshold, tolerance)
+    first = nodes.where("fp = class_fp").select("fp", F.col("least").alias("id"), F.lit(True).alias("has_words"))
+    blank = rows.where("sig is null").select("fp", F.col("doc_id").alias("id"), F.lit(False).alias("has_words")).distinct()
+    kept = first.unionByName(blank)
+    fp, key, once = unused(docs.columns, "_fp", "_key", "_once")
+    marked = docs.withColumns({fp: F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))), key: F.col(id_col).cast("long")})
+    out = marked.join(kept, (marked[fp] == kept["fp"]) & marked[key].eqNullSafe(kept["id"])).select(*[marked[c] for c in marked.columns], F.when(~kept["has_words"], F.monotonically_increasing_id()).alias(once))
+    return out.dropDuplicates([fp, key, once]).select(*docs.columns)
 
 
 def op3_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -47,9 +47,7 @@ def brute(rows, t=0.8):
     return links, label
 
 
-@pytest.mark.parametrize("chunk", [128, 3])
-def test_jaccard_join(spark, monkeypatch, chunk):
-    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
+def test_jaccard_join(spark):
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, fp string, sig int")
     got = {r.doc_id: r for r in jaccard_join.join_documents(docs).collect()}
@@ -69,7 +67,104 @@ def test_jaccard_empty_and_repeats(spark):
     assert jaccard_join.join_documents(spark.createDataFrame([], kind)).count() == 0
     twins = spark.createDataFrame([(1, "a b c d e f")] * 3 + [(2, "")] * 2, kind)
     assert sorted((r.doc_id, r.n_links) for r in jaccard_join.join_documents(twins).collect()) == [(1, 2)] * 3 + [(2, 0)] * 2
-    assert sorted(r.doc_id for r in jaccard_join.keep_one(twins).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(twins).collect()) == [1, 2, 2]
+
+
+def brute_links(rows, words=5):
+    """Of each (id, text) the ids of the rows that it is linked to, from sets of word tuples."""
+
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()
+
+    sets = [(i, grams(t or "")) for i, t in rows]
+    by = {}
+    for k, (_, g) in enumerate(sets):
+        for x in g:
+            by.setdefault(x, set()).add(k)
+    out = {}
+    for k, (i, g) in enumerate(sets):
+        near = set().union(*(by[x] for x in g)) - {k} if g else set()
+        out[i] = sorted(sets[j][0] for j in near if 5 * len(g & sets[j][1]) >= 4 * len(g | sets[j][1]))
+    return out
+
+
+def test_jaccard_on_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    links = brute_links([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
+    got = {r.doc_id: r for r in jaccard_join.join_documents(docs).collect()}
+    assert {i: got[i].n_links for i in got} == {i: len(x) for i, x in links.items()}
+    assert all(got[i].class_id == got[j].class_id for i, x in links.items() for j in x)
+    label = {i: i for i in links}
+    for _ in range(len(links)):
+        new = {i: min([label[i], *(label[j] for j in x)]) for i, x in links.items()}
+        if new == label:
+            break
+        label = new
+    assert {i: got[i].class_id for i in got} == label
+
+
+def test_jaccard_chunks(spark):
+    """A group that fills many chunks of its star gives the same links as one chunk."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(500)}" for _ in range(60)]
+    rows = []
+    for k in range(70):
+        words = list(base)
+        for _ in range(r.randrange(0, 4)):
+            words[r.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    links = brute_links(rows)
+    assert sum(map(len, links.values())) > 500
+    for chunk, chars in ((4, 10**6), (10**6, 2000), (512, 10**6)):
+        _, nodes = jaccard_join.link_texts(docs, "doc_id", "text", 5, 0.8, 1e-8, chunk, chars)
+        copies = {x.least: x for x in nodes.collect()}
+        byt = {}
+        for i, t in rows:
+            byt.setdefault(t, []).append(i)
+        assert {min(v): copies[min(v)].n_links for v in byt.values()} == {min(v): len(links[min(v)]) for v in byt.values()}
+
+
+CLASH = ("score", "predicted", "topic", "tokens", "kept", "probability", "mix_source", "_key", "_md5", "_fp", "_once", "Kept_")
+
+
+def test_stages_keep_other_columns(spark, tmp_path):
+    """Columns named like those that the operators work with pass through the pipeline's stages."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    rows = [(k, sentence(r, 40), r.choice("ab"), "en", 1, *[f"{c}{k}" for c in CLASH]) for k in range(40)]
+    rows += [(40, rows[0][1], "a", "en", 1, *["z"] * len(CLASH)), (41, None, None, None, None, *[None] * len(CLASH)), (41, None, None, None, None, *[None] * len(CLASH))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH))
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    were = {tuple(x) for x in rows}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = [tuple(x) for x in out.collect()]
+        assert got and set(got) <= were
+    kept = [x.doc_id for x in jaccard_join.keep_one(docs).collect()]
+    assert sorted(kept) == [*range(40), 41, 41]
+
+
+def test_mix_without_words_or_targets(spark):
+    kind = "doc_id long, text string, source string, lang string"
+    blank = spark.createDataFrame([(1, None, "a", None), (2, "", None, "x"), (2, "  ", "a", "x")], kind)
+    assert [x.kept for x in mixing.mix(blank).collect()] == [True] * 3
+    words = spark.createDataFrame([(1, "a b", "a", "x"), (2, "c", "b", "x"), (3, "", "b", "x")], kind)
+    assert sorted(x.doc_id for x in mixing.mix(words, targets={"source": {"none": 1.0}}).where("kept").collect()) == []
+    for bad in ({}, {"a": 0.0}):
+        with pytest.raises(ValueError):
+            mixing.mix(words, targets={"source": bad})
+
+
+def test_sample_within_characters():
+    found = [(k, k % 2, 10 + k) for k in range(40)]
+    one = quality.within(found, 100)
+    assert all(sum(n for i, y, n in found if i in one and y == c) <= 100 for c in (0, 1)) and len(one) >= 4
+    assert set(quality.within(found, 0)) == {quality.within([f for f in found if f[1] == c], 0)[0] for c in (0, 1)}
+    assert sorted(quality.within(found, 10**6)) == list(range(40))
 
 
 def test_bayes_bound():
@@ -172,6 +267,116 @@ def test_html_widens_beyond_parts():
     assert html_text.main_text(page).split("\n\n") == ["Title", *items, "End."]
 
 
+PARA = "<p>%s paragraph has as many words as are needed for a text of some length.</p>"
+TEXT = "%s paragraph has as many words as are needed for a text of some length."
+
+
+@pytest.mark.parametrize(
+    ("inner", "extra"),
+    [
+        ('<section id="search-algorithms">{0}{1}</section>', []), ('<div class="related-work">{0}{1}</div>', []), ('<div class="notice-of-decision">{0}{1}</div>', []),
+        ('{0}<p class="share-price">The share price is up.</p>{1}', [(1, "The share price is up.")]), ('{0}<p class="form-of-verse">This form is old.</p>{1}', [(1, "This form is old.")]),
+        ('{0}<p class="login-howto">Press it.</p>{1}', [(1, "Press it.")]), ("{0}<p>Press <button>OK</button> to go on.</p>{1}", [(1, "Press OK to go on.")]),
+        ('<div class="post-header"><h1>The headline</h1></div>{0}{1}', [(0, "The headline")]), ("{0}<p>The <label>inline</label> word.</p>{1}", [(1, "The inline word.")]),
+    ],
+)
+def test_html_layouts_within_articles(inner, extra):
+    want = [TEXT % "A", TEXT % "B"]
+    for at, text in extra:
+        want.insert(at, text)
+    page = f"<nav><a href=/>Menu</a></nav><article>{inner.format(PARA % 'A', PARA % 'B')}</article><footer>x</footer>"
+    assert html_text.main_text(page).split("\n\n") == want
+
+
+def test_html_sibling_divs():
+    abc = "".join(PARA % x for x in "ABC")
+    page = f'<body><nav><a href=x>Menu</a></nav><div class="page"><div class="t"><h1>Title</h1></div><div><p>Lead.</p></div><div class="b">{abc}</div><div><div><p>End.</p></div></div></div><footer>f</footer></body>'
+    assert html_text.main_text(page).split("\n\n") == ["Title", "Lead.", *[TEXT % x for x in "ABC"], "End."]
+
+
+def test_html_surge_and_dive_decide():
+    """Lists of links that nothing marks go before the surge and after the dive, and stay between."""
+    links = "<ul>" + "".join(f"<li><a href=/{k}>Place number {k} of the list</a></li>" for k in range(8)) + "</ul>"
+    abc = "".join(PARA % x for x in "ABC")
+    for page in (f"<div>{links}</div><div><h1>Title</h1>{abc}<p>End.</p></div><div>{links}</div>", f"<article>{links}<h1>Title</h1>{abc}<p>End.</p>{links}</article>"):
+        assert html_text.main_text(page).split("\n\n") == ["Title", *[TEXT % x for x in "ABC"], "End."]
+        assert len(html_text.Lines(page).texts) == 21
+    page = f"<article>{abc}<p><a href=/>One line of links only</a></p>{abc}</article>"
+    assert len(html_text.main_text(page).split("\n\n")) == 7
+
+
+def slow_bounds(lengths, window, share):
+    """Every stretch of places whose window sums reach the floor, by trial."""
+    n = len(lengths)
+    sums = [sum(lengths[i : i + window]) for i in range(n)]
+    floor = share * max(sums, default=0)
+    runs = []
+    for a in range(n):
+        for b in range(a, n):
+            whole = all(s >= floor and s > 0 for s in sums[a : b + 1])
+            if whole and (a == 0 or not (sums[a - 1] >= floor and sums[a - 1] > 0)) and (b == n - 1 or not (sums[b + 1] >= floor and sums[b + 1] > 0)):
+                last = min(n, b + window) - 1
+                runs.append((-sum(lengths[a : last + 1]), a, -last))
+    if not runs:
+        return None
+    _, a, last = min(runs)
+    inner = [k for k in range(a, -last + 1) if lengths[k] >= floor / window]
+    return inner[0], inner[-1]
+
+
+def test_html_against_a_slow_version():
+    """Random pages put together from known parts; bounds by trial; the stripped lines as the
+    standard library's parser finds them."""
+    from html.parser import HTMLParser
+
+    class Slow(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.lines, self.off = [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            if self.off or tag in ("nav", "footer", "script", "style") or ("class", "ad") in attrs:
+                self.off += tag not in ("br", "a", "b", "p", "li")
+            self.lines.append("") if tag in ("p", "h1", "li", "ul", "div", "article", "nav", "footer") else None
+            if tag == "br":
+                self.handle_data(" ")
+
+        def handle_endtag(self, tag):
+            if self.off and tag not in ("br", "a", "b", "p", "li"):
+                self.off -= 1
+            self.lines.append("") if tag in ("p", "h1", "li", "ul", "div", "article", "nav", "footer") else None
+
+        def handle_data(self, data):
+            if not self.off:
+                self.lines[-1] += data
+
+    r = random.Random(12)
+    for _ in range(150):
+        paras = [sentence(r, r.choice([1, 3, 20, 60])).replace("e", r.choice(["e", "&eacute;", "<b>e</b>", "e<br>"])) for _ in range(r.randrange(1, 12))]
+        inner = "".join(f"<p>{p}</p>" if r.random() < 0.8 else f"<ul><li>{p}</li></ul>" for p in paras)
+        tag = r.choice(["article", "div"])
+        junk = f"<nav><ul><li><a href=/>Home</a></li></ul></nav><script>var x='<p>';</script><div class=\"ad\">{sentence(r, 9)}</div>"
+        page = f"<html><body>{junk}<{tag}><h1>{sentence(r, 4)}</h1>{inner}</{tag}><footer>&copy; {sentence(r, 5)}</footer></body></html>"
+        slow = Slow()
+        slow.feed(page)
+        want = [" ".join(x.split()) for x in slow.lines if x.split()]
+        assert html_text.Lines(page).texts == want
+        assert html_text.main_text(page).split("\n\n") == want
+        sizes = [r.choice([0, 0, 3, 40, 200]) for _ in range(r.randrange(0, 14))]
+        for window, share in ((3, 0.3), (1, 0.5), (5, 0.2)):
+            got = html_text.bounds(sizes, window, share)
+            assert got == (slow_bounds(sizes, window, share) if any(sizes) else None)
+
+
+def test_html_hostile_pages_are_read_once():
+    import time
+
+    began = time.process_time()
+    for part in ("<div>", "<div><p>x", '<a x="', "<a x='>", "<!--", "<table><tr><td>", "<article><form>", '<p class="ad sidebar">', "</div>", "<", "<a =", "<span class=share>x"):
+        html_text.main_text(part * 100_000)
+    assert time.process_time() - began < 30
+
+
 def test_html_odd_pages(spark):
     for html, want in (("", ""), (None, ""), ("just text", "just text"), ("<p>a<p>b", "a\n\nb"), ("<article>x</article>", "x"), ("<a href=x>only link</a>", ""), ("<script>unclosed <p>x", ""), ("<!-- open <p>x", ""), ("a < b & c", "a < b & c"), ("<p title='a>b'>q</p>", "q"), ("<p>&lt;p&gt; &amp;amp;</p>", "<p> &amp;")):
         assert html_text.main_text(html) == want, html
@@ -383,17 +588,3 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert json.dumps([k for k, _ in p.STAGES])
-
-
-@pytest.mark.parametrize("share", [3, 1000])
-def test_join_hot_equals_join(spark, monkeypatch, share):
-    """Hot, plain and missing keys; a left join keeps null and unmatched keys."""
-    monkeypatch.setattr(common, "HOT_SHARE", share)
-    rows = [(1, i) for i in range(20)] + [(2, 20), (2, 21), (3, 22), (None, 23), (9, 24)]
-    big = spark.createDataFrame(rows, "k int, v int")
-    small = spark.createDataFrame([(1, 20, "a"), (2, 2, "b"), (3, 1, "c")], "k int, n long, s string")
-    names = {1: "a", 2: "b", 3: "c"}
-    got = {tuple(r) for r in common.join_hot(big, small, "k", "n", len(rows), "left").collect()}
-    assert got == {(k, v, names.get(k)) for k, v in rows}
-    inner = common.join_hot(big, small, "k", "n", len(rows)).collect()
-    assert sorted(tuple(r) for r in inner) == [(k, v, names[k]) for k, v in rows if k in names]
