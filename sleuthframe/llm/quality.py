@@ -9,22 +9,21 @@ curve, fitted on a fifth of the sample that the model has not seen, turns margin
 scores.
 
 The fit uses at most ``per_class`` labelled rows of each class, those whose id's MD5 comes
-first (a bound stated here, so the driver's share does not grow); every row is scored. Labels
-count only where crc32(id as text) mod 3 is not 1, and where all labels of an id agree.
+first, and of these the first whose texts have at most ``sample_chars`` characters together, or
+the first alone (bounds stated here, so the driver's share does not grow); every row is scored.
+Labels count only where crc32(id as text) mod 3 is not 1, and where all labels of an id agree.
 
 Defined cases: a null or empty text has no indicators and scores by the intercept; null ids
 are scored and held_out is null; repeated rows score alike; with no label of one class every
 score is 1 or 0 after the other, with no label at all 0.5; an empty table gives no rows; other
-columns pass through, those named like the added ones are replaced."""
+columns pass through; the added ones are named by parameters and replace those of their name."""
 
 from __future__ import annotations
 
-import functools
-import itertools
+import hashlib
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,16 +31,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, text_slices
+from .common import Scratch, give_back, text_slices
 
 WORD_BITS, SHAPE_BITS = 18, 16
 #: Words that a Python worker keeps the shape and the hash of.
-CACHED = 1 << 16
+CACHED = 1 << 17
 STEPS = (0.0, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
 MARKS = re.compile(r"[^\w\s]+$")
+#: Stands for the shape of a word that repeats the one before.
+SAME = zlib.crc32(b"=") & 0xFFFF
+_known: dict[str, int] = {}
 
 
-@functools.lru_cache(maxsize=CACHED)
 def shape(word: str) -> str:
     marks = MARKS.search(word)
     body = word[: marks.start()] if marks else word
@@ -49,9 +50,14 @@ def shape(word: str) -> str:
     return kind + (marks[0][-2:] if marks else "")
 
 
-@functools.lru_cache(maxsize=CACHED)
-def word_hash(word: str) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+def word_codes(words: list[str]) -> np.ndarray:
+    """For each word 32 bits of the lower-cased word and 16 bits of its shape."""
+    if len(_known) > CACHED:
+        _known.clear()
+    for w in set(words):
+        if w not in _known:
+            _known[w] = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) << 16 | zlib.crc32(shape(w).encode("utf-8", "surrogatepass")) & 0xFFFF
+    return np.fromiter(map(_known.__getitem__, words), np.int64, len(words))
 
 
 def indicators(text: str) -> np.ndarray:
@@ -59,20 +65,22 @@ def indicators(text: str) -> np.ndarray:
     words = text.split()
     if not words:
         return np.zeros(0, np.int32)
-    h = np.array([word_hash(w) for w in text.lower().split()], np.uint64)
+    codes = word_codes(words)
+    h = (codes >> 16).astype(np.uint64)
     pairs = (h[:-1] * np.uint64(0x9E3779B1) + h[1:] * np.uint64(0x85EBCA77)) >> np.uint64(7)
     hashed = np.unique(np.concatenate([h, pairs]) & np.uint64((1 << WORD_BITS) - 1))
-    shapes = [shape(w) for w in words]
-    shapes = shapes[:1] + ["=" if a == b else s for a, b, s in zip(words, words[1:], shapes[1:], strict=False)]
-    found = set()
-    for counts, total in ((Counter(shapes), len(shapes)), (Counter(itertools.pairwise(shapes)), max(1, len(shapes) - 1))):
-        for gram, n in counts.items():
-            key = zlib.crc32(repr(gram).encode("utf-8", "surrogatepass"))
-            for k, step in enumerate(STEPS):
-                if n < step * total:
-                    break
-                found.add((key * 31 + k * 0x9E3779B1 >> 3) % (1 << SHAPE_BITS) + (1 << WORD_BITS))
-    return np.concatenate([hashed, np.array(sorted(found), np.uint64)]).astype(np.int32)
+    s = codes & 0xFFFF
+    s[1:][codes[1:] == codes[:-1]] = SAME
+    found = []
+    for grams in (s + (1 << 33), s[:-1] << 16 | s[1:]):
+        grams, counts = np.unique(grams, return_counts=True)
+        keys = grams.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+        for k, step in enumerate(STEPS):
+            reached = counts >= step * max(1, counts.sum())
+            if not reached.any():
+                break
+            found.append((keys[reached] * np.uint64(31) + np.uint64(k * 0x9E3779B1) >> np.uint64(3)) % np.uint64(1 << SHAPE_BITS))
+    return np.concatenate([hashed, np.unique(np.concatenate(found)) + np.uint64(1 << WORD_BITS)]).astype(np.int32)
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, epochs: int = 12, alpha: float = 1.0) -> dict:
@@ -139,55 +147,99 @@ def logistic(margins: np.ndarray, hits: np.ndarray) -> tuple[float, float]:
     return max(s, 1e-3), b
 
 
-def score(text: str, model: dict) -> float:
-    row = indicators(text)
-    margin = float(model["weights"][row] @ scaled(row, model["scale"])) + model["bias"] if len(row) else model["bias"]
-    x = model["curve"][0] * margin + model["curve"][1]
-    return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+def scores(texts: list[str], model: dict) -> np.ndarray:
+    """Of many texts at once: one flat array of features, sums by text and feature group."""
+    rows = [indicators(t) for t in texts]
+    flat = np.concatenate([*rows, np.zeros(0, np.int32)])
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    value = model["scale"][flat].astype(np.float64)
+    group = 2 * of + (flat >= 1 << WORD_BITS)
+    length = np.sqrt(np.bincount(group, value * value, 2 * len(rows)))
+    length[length == 0] = 1.0
+    margin = np.bincount(of, model["weights"][flat] * value / length[group], len(rows)) + model["bias"]
+    slope, shift = model["curve"]
+    with np.errstate(over="ignore", invalid="ignore"):
+        return 1 / (1 + np.exp(-np.nan_to_num(slope * margin + shift, posinf=np.inf, neginf=-np.inf)))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 4000) -> dict:
+def labelled(labels: DataFrame, key, label_col: str) -> DataFrame:
+    """(_id, _y) of the ids that the fit may use."""
+    known = labels.where(F.col(label_col).isin(0, 1) & key.isNotNull() & (F.crc32(key.cast("string").cast("binary")) % 3 != 1))
+    return known.groupBy(key.alias("_id")).agg(F.min(label_col).alias("_low"), F.max(label_col).alias("_y")).where("_low = _y").select("_id", F.col("_y").cast("int").alias("_y"))
+
+
+def within(found: list[tuple[int, int, int]], most: int) -> list[int]:
+    """Of (id, label, characters) the ids that a class's budget of characters holds, in the
+    order of their MD5."""
+    out = []
+    for y in (0, 1):
+        spent = 0
+        for i, _, n in sorted((r for r in found if r[1] == y), key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest(), r[0])):
+            spent += n
+            if spent > most and spent > n:
+                break
+            out.append(i)
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 4000, sample_chars: int = 20_000_000) -> dict:
     """Fits on the driver, on the bounded sample."""
     key = F.col(id_col).cast("long")
-    known = labels.where(F.col(label_col).isin(0, 1) & key.isNotNull() & (F.crc32(key.cast("string").cast("binary")) % 3 != 1))
-    known = known.groupBy(key.alias("_id")).agg(F.min(label_col).alias("_low"), F.max(label_col).alias("_y")).where("_low = _y").select("_id", F.col("_y").cast("int").alias("_y"))
+    known = labelled(labels, key, label_col)
     picked = None
     for y in (0, 1):
         one = known.where(F.col("_y") == y).orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(per_class)
         picked = one if picked is None else picked.unionByName(one)
-    rows = [(r[0], r[1]) for r in picked.collect()]
+    rows = {r[0]: r[1] for r in picked.collect()}
     if not rows:
         return fit([], np.zeros(0, int))
     # At most 2 * per_class ids: a proven bound for the broadcast.
-    sample = F.broadcast(docs.sparkSession.createDataFrame(rows, "_id long, _y int"))
+    spark = docs.sparkSession
+    sample = F.broadcast(spark.createDataFrame([(i,) for i in rows], "_id long"))
 
     def featured(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for ids, texts in text_slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([indicators(t).tobytes() for t in texts], pa.binary())], names=["_id", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([indicators(t).tobytes() for t in texts], pa.binary())], names=["_id", "chars", "row"])
         give_back()
 
     # One text per id, should an id repeat: the least.
-    texts = docs.select(key.alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).join(sample.select("_id"), "_id").groupBy("_id").agg(F.min("_t").alias("_t"))
-    table = texts.mapInArrow(featured, "_id long, row binary").toArrow()
-    found = dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True))
-    ids = [(i, y) for i, y in sorted(rows, key=lambda r: zlib.crc32(str(r[0]).encode())) if i in found]
-    return fit([np.frombuffer(found[i], np.int32) for i, _ in ids], np.array([y for _, y in ids], int))
-
-
-def classify(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
-    """The input with score and predicted."""
+    texts = docs.select(key.alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_t")).join(sample, "_id").groupBy("_id").agg(F.min("_t").alias("_t"))
+    scratch = Scratch(spark, "quality")
+    table = scratch.save(texts.mapInArrow(featured, "_id long, chars long, row binary"), "sample")
+    chosen = within([(i, rows[i], n) for i, n in table.select("_id", "chars").collect()], sample_chars)
+    if not chosen:
+        return fit([], np.zeros(0, int))
+    wanted = F.broadcast(spark.createDataFrame([(i,) for i in chosen], "_id long"))
+    found = {i: np.frombuffer(bytes(r), np.int32) for i, r in table.join(wanted, "_id", "left_semi").select("_id", "row").collect()}
+    scratch.drop("sample")
+    ids = sorted(found, key=lambda i: zlib.crc32(str(i).encode()))
+    model = fit([found[i] for i in ids], np.array([rows[i] for i in ids], int))
+    del found, rows
+    give_back()
+    return model
+
+
+def classify(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """The input with the score and the prediction."""
     from pyspark.sql.pandas.functions import pandas_udf
 
     @pandas_udf("double")
     def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([score(t or "", model) for t in batch], dtype="float64")
+            out, part, size = [], [], 0
+            for t in batch:
+                part.append(t or "")
+                size += len(part[-1])
+                if size > 1_000_000:
+                    out.append(scores(part, model))
+                    part, size = [], 0
+            yield pd.Series(np.concatenate([*out, scores(part, model)]), dtype="float64")
         give_back()
 
-    out = docs.withColumn("score", scored(F.col(text_col).cast("string")))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = docs.withColumn(score_col, scored(F.col(text_col).cast("string")))
+    return out.withColumn(predicted_col, (F.col(score_col) >= 0.5).cast("int"))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
