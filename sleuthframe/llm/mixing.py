@@ -16,11 +16,15 @@ Only the cells are raked: their number is the product of the three dimensions' s
 many documents there are, and counting them aggregates before the shuffle. The cells sit in
 one partition, where each round is three window sums without an exchange.
 
+The text of a document is read once: its cell and tokens are written beside the other columns.
+
 Defined cases: null source or language is a value of its own (shown as ''); a null or empty
 text has no words, counts no tokens, and is kept with its cell's probability (1 in a cell
-without tokens); repeated rows count and share one decision; targets for values that do not
-occur are passed over and the others scaled up; an empty table gives no rows; other columns
-pass through, those named like the added ones are replaced."""
+without tokens, so everything stays of a table without words); repeated rows count and share
+one decision; targets for values that do not occur are passed over and the others scaled up, and
+if none is left, no document with words is kept; targets without a positive one are an error; an
+empty table gives no rows; other columns pass through, those named like the added ones are
+replaced (``sample`` adds none and so replaces none)."""
 
 from __future__ import annotations
 
@@ -28,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, unused
 
 DIMS = ("source", "lang", "topic")
 #: Topics by the family of word endings that prevails; ties go to the earlier one.
@@ -109,7 +113,8 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]
     for d in DIMS:
         first = F.row_number().over(W.partitionBy(d).orderBy(*[x for x in DIMS if x != d]))
         one = one.withColumn("first", first)
-        one = one.withColumn(f"t_{d}", F.col(f"t_{d}") / F.sum(F.when(F.col("first") == 1, F.col(f"t_{d}"))).over(W.partitionBy(F.lit(1))))
+        sum_of = F.sum(F.when(F.col("first") == 1, F.col(f"t_{d}"))).over(W.partitionBy(F.lit(1)))
+        one = one.withColumn(f"t_{d}", F.when(sum_of > 0, F.col(f"t_{d}") / sum_of).otherwise(F.lit(0.0)))
     one = one.drop("first").withColumn("w", F.col("tokens").cast("double"))
     if keep is not None:
         one = scratch.save(with_goals(one, keep).withColumn("w", F.col("w") * float(keep)), "goals").coalesce(1)
@@ -129,7 +134,8 @@ def rake(cells: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]
             one = scratch.save(one, f"cells-{k}").coalesce(1)
     g = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
     scale = F.max(g).over(W.partitionBy(F.lit(1))) if keep is None else F.lit(1.0)
-    return one.withColumn("probability", F.round(F.coalesce(g / scale, F.lit(1.0)), 9)).select(*DIMS, "tokens", F.col("w").alias("weight"), "probability", *[f"t_{d}" for d in DIMS])
+    share = F.when(F.col("tokens") > 0, F.when(scale > 0, g / scale).otherwise(F.lit(0.0))).otherwise(F.lit(1.0))
+    return one.withColumn("probability", F.round(share, 9)).select(*DIMS, "tokens", F.col("w").alias("weight"), "probability", *[f"t_{d}" for d in DIMS])
 
 
 def mix_report(raked: DataFrame, tolerance: float = 0.01) -> DataFrame:
@@ -147,32 +153,48 @@ def unit(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix_and_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float] | None] | None = None, temperatures: dict[str, float] | None = None, seed: str = SEED, keep: float | None = None) -> tuple[DataFrame, DataFrame]:
+#: Columns that ``mix`` adds.
+ADDED = ("mix_source", "mix_lang", "topic", "tokens", "probability", "kept")
+
+
+def mix_and_cells(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, dict[str, float] | None] | None = None, temperatures: dict[str, float] | None = None, seed: str = SEED, keep: float | None = None, names: tuple[str, ...] = ADDED, with_text: bool = True) -> tuple[DataFrame, DataFrame]:
     """The rows of ``mix`` and the raked cells, for ``mix_report``."""
     if keep is not None and not 0 < keep <= 1:
         raise ValueError("keep is a share of the tokens, above 0 and at most 1")
+    for dim, given in (targets or {}).items():
+        if given is not None and not any(v > 0 for v in given.values()):
+            raise ValueError(f"no target of {dim} is positive")
+    source, lang, topic, tokens, probability, kept = names
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = docs.withColumns({"mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit("")), "mix_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "topic": topic_of(F.col(text_col)), "tokens": word_count(F.col(text_col))})
-    cells = rows.groupBy(F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), "topic").agg(F.sum("tokens").alias("tokens"))
+    rows = docs.withColumns({source: F.coalesce(F.col(source_col).cast("string"), F.lit("")), lang: F.coalesce(F.col(lang_col).cast("string"), F.lit("")), topic: topic_of(F.col(text_col)), tokens: word_count(F.col(text_col))})
+    rows = scratch.save(rows.drop(probability, kept) if with_text else rows.drop(probability, kept, text_col), "rows")
+    cells = rows.groupBy(F.col(source).alias("source"), F.col(lang).alias("lang"), F.col(topic).alias("topic")).agg(F.sum(tokens).alias("tokens"))
     cells = scratch.save(cells.coalesce(1), "cells")
     raked = scratch.save(rake(cells, scratch, targets or {}, temperatures or TEMPERATURES, keep=keep), "raked")
     # A row per cell; Spark broadcasts it below its own threshold and joins by shuffle beyond.
-    keyed = raked.select(F.col("source").alias("mix_source"), F.col("lang").alias("mix_lang"), F.col("topic").alias("topic"), "probability")
-    out = rows.drop("probability", "kept").join(keyed, ["mix_source", "mix_lang", "topic"])
-    return out.withColumn("kept", unit(F.col(id_col), seed) < F.col("probability")), raked
+    keyed = raked.select(F.col("source").alias(source), F.col("lang").alias(lang), F.col("topic").alias(topic), F.col("probability").alias(probability))
+    out = rows.join(keyed, [source, lang, topic]).select(*rows.columns, probability)
+    return out.withColumn(kept, unit(F.col(id_col), seed) < F.col(probability)), raked
 
 
 def mix(docs: DataFrame, *args, **options) -> DataFrame:
-    """The input with mix_source, mix_lang, topic, tokens, probability and kept.
+    """The input (``with_text=False``: without its text) with mix_source, mix_lang, topic,
+    tokens, probability and kept.
 
     Targets and TEMPERATURES may be given for each dimension, and ``keep``, the share of all
     tokens to keep."""
     return mix_and_cells(docs, *args, **options)[0]
 
 
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The kept rows of the input, with the input's columns as they are."""
+    names = tuple(unused(docs.columns, *ADDED))
+    return mix(docs, names=names, **options).where(F.col(names[-1])).select(*docs.columns)
+
+
 def op2_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = mix(docs.select("doc_id", "text", "source", "lang"))
+    out = mix(docs.select("doc_id", "text", "source", "lang"), with_text=False)
     return out.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), "topic", "tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
