@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. What
 the operators' docstrings define for nulls, empty and very long texts, ties, repeated rows,
 empty tables and other columns holds for the stages; the first three return the columns of
-``docs``."""
+``docs`` with the input's values, whatever their names."""
 
 from __future__ import annotations
 
@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sleuthframe.llm import jaccard_join, mixing, packing, quality
-from sleuthframe.llm.common import Scratch
+from sleuthframe.llm.common import Scratch, unused
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of those at hand, accepts."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.classify(docs, model).where("predicted = 1").select(*docs.columns)
+    score, predicted = unused(docs.columns, "score", "predicted")
+    judged = quality.classify(docs, model, score_col=score, predicted_col=predicted)
+    return judged.where(F.col(predicted) == 1).select(*docs.columns)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,13 +29,14 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by their raked probabilities, mixing.KEEP of the tokens."""
-    return mixing.mix(docs, keep=mixing.KEEP).where("kept").select(*docs.columns)
+    return mixing.sample(docs, keep=mixing.KEEP)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all packed sequences."""
     pieces = packing.pack(docs)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_group")
+    digest = F.crc32("ids").alias("ids_crc32")
+    return pieces.select("doc_id", "start", "length", digest, "doc_tokens", "sequence_id", "offset", "window", "step_group")
 
 
 STAGES = [
