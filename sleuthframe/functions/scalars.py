@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from ..config import GENESIS, HONORIFICS
 
-# Patterns of phones, vehicle plates, names, places, amounts and headers.
+# Patterns of phones, vehicle plates, names, places and headers.
 PHONE = r"(?:\+?91[\s\-]?)?[6-9]\d{4}[\s\-]?\d{5}"
 VEHICLE = r"\b[A-Z]{2}[\s\-]?\d{1,2}[\s\-]?[A-Z]{1,3}[\s\-]?\d{3,4}\b"
 VEHICLE_STRICT = r"\b[A-Z]{2}-\d{2}-[A-Z]{1,2}-\d{4}\b"
 NAME = r"\b(?:[A-Z]\.\s*)?[A-Z][a-z]+\s+[A-Z][a-z]+\b"
 DEVANAGARI_NAME = r"[\u0900-\u097F]{2,}(?:\s+[\u0900-\u097F]{2,})+"
 DEVANAGARI_PLACE = r"(?:थाना|जिला|गाँव|गांव|शहर|राज्य|मोहल्ला|चौक|बाज़ार|बाजार)\s*[:\-]?\s*([\u0900-\u097F]{2,}(?:\s+[\u0900-\u097F]{2,}){0,2})"
-AMOUNT = r"(?:₹\s?[\d,]+(?:\.\d+)?|\d+(?:\.\d+)?\s?(?:lakh|crore|L|Cr))"
 RUPEES = r"(?i)(?:Rs\.?|INR|₹)\s*([\d,]+(?:\.\d+)?)"
 STAMP = r"(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2})?)"
 TRIGGER = r"(?i)\b(driving|riding|driver|rider|vehicle(?:\s*no\.?)?|registration(?:\s*no\.?)?|plate(?:\s*no\.?)?|owned\s+by|belonging\s+to)\b"

@@ -158,3 +158,11 @@ def entity_signals(entities: DataFrame, edges: DataFrame, iterations: int = 100)
 def recompute_base_risk(entities: DataFrame, signals: DataFrame) -> DataFrame:
     new = signals.select("case_id", "id", F.col("computed_base_risk").alias("_r"))
     return entities.join(new, ["case_id", "id"], "left").withColumn("base_risk_score", F.coalesce("_r", "base_risk_score")).drop("_r")
+
+
+def graph_analytics(entities: DataFrame, edges: DataFrame, iterations: int = 100) -> dict[str, DataFrame]:
+    """The bundle of a case's graph: counts, signals, money cycles and burner clusters, each
+    computed once."""
+    vertices, g = build_graph(entities, edges)
+    counts = vertices.groupBy("case_id").agg(F.count("*").alias("nodes")).join(g.groupBy("case_id").agg(F.count("*").alias("links")), "case_id", "left").na.fill(0, ["links"])
+    return {"counts": counts, "signals": entity_signals(entities, edges, iterations), "cycles": money_cycles(edges), "burners": burner_clusters(edges)}

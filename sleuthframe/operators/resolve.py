@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from ..config import Resolution
 from ..functions import scalars as S
 from ..functions.similarity import similarity
-from ..scratch import Scratch
+from ..scratch import Scratch, components
+from . import state
 
 
 def classify(shares_phone: Column, shares_vehicle: Column, sim: Column, words_a: Column, words_b: Column, cfg: Resolution = Resolution()) -> Column:
@@ -70,23 +71,16 @@ def alias_pairs(people: DataFrame, cfg: Resolution = Resolution()) -> DataFrame:
     return best.select("case_id", "a", "b", "sim", rule.alias("rule"))
 
 
-def merge_map(pairs: DataFrame, rounds: int = 30) -> DataFrame:
-    """(case_id, id, survivor): components of the automatic pairs, the least id survives."""
-    scratch = Scratch(pairs.sparkSession, "merge")
-    edges = pairs.where(F.col("rule").startswith("auto")).select("case_id", "a", "b")
-    both = scratch.save(edges.unionByName(edges.select("case_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
-    label = both.groupBy("case_id", F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("survivor"))
-    for k in range(rounds):
-        near = both.join(label.withColumnRenamed("id", "b"), ["case_id", "b"]).groupBy("case_id", F.col("a").alias("id")).agg(F.min("survivor").alias("near"))
-        new = label.join(near, ["case_id", "id"]).select("case_id", "id", F.least("survivor", "near").alias("survivor"), (F.col("near") < F.col("survivor")).alias("moved"))
-        jump = new.select("case_id", F.col("id").alias("survivor"), F.col("survivor").alias("far"))
-        new = scratch.save(new.join(jump, ["case_id", "survivor"], "left").select("case_id", "id", F.coalesce("far", "survivor").alias("survivor"), "moved"), f"label-{k}")
-        label = new.drop("moved")
-        if not new.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"merging did not settle in {rounds} rounds")
-    return label
+def merge_map(pairs: DataFrame, rounds: int = 40) -> DataFrame:
+    """(case_id, id, survivor): components of the automatic pairs and of the pairs that a
+    review accepted, the least id survives. Raises if ``rounds`` do not settle them."""
+    taken = F.col("rule").startswith("auto")
+    if "decision" in pairs.columns:
+        taken = taken | (F.col("decision") == "accepted")
+    edges = pairs.where(taken).select(F.struct("case_id", F.col("a").alias("id")).alias("a"), F.struct("case_id", F.col("b").alias("id")).alias("b"))
+    found = components(edges, Scratch(pairs.sparkSession, "merge"), "merge", rounds)
+    every = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+    return every.select("node.case_id", "node.id", F.col("root.id").alias("survivor"))
 
 
 def merge_entities(entities: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -95,7 +89,7 @@ def merge_entities(entities: DataFrame, edges: DataFrame, mapping: DataFrame) ->
     losers = mapping.where("id <> survivor")
     e = entities.join(mapping, ["case_id", "id"], "left").withColumn("survivor", F.coalesce("survivor", "id"))
     names = e.groupBy("case_id", "survivor", "name").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    name = names.groupBy("case_id", "survivor").agg(F.max_by("name", F.struct("n", F.length("name"))).alias("name"))
+    name = names.groupBy("case_id", "survivor").agg(F.max_by("name", F.struct("n", F.length("name"), "name")).alias("name"))
     sets = e.groupBy("case_id", "survivor").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))))).alias("forms"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("phone_numbers")))).alias("phone_numbers"), F.max("base_risk_score").alias("base_risk_score"), F.min_by("entity_type", "id").alias("entity_type"))
     merged = sets.join(name, ["case_id", "survivor"]).select("case_id", F.col("survivor").alias("id"), "name", F.array_remove(F.col("forms"), F.col("name")).alias("aliases"), "phone_numbers", "entity_type", "base_risk_score")
     to = lambda c: losers.select("case_id", F.col("id").alias(c), F.col("survivor").alias(f"{c}_to"))
@@ -110,13 +104,17 @@ def merge_entities(entities: DataFrame, edges: DataFrame, mapping: DataFrame) ->
 
 
 def unmerge(entities: DataFrame, edges: DataFrame, original_edges: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entities and edges before the logged merges."""
+    """Entities and edges before the logged merges; edges that other merges moved stay moved."""
     back = log.select(F.explode("entities").alias("e")).select("e.*")
     kept = entities.join(log.select("case_id", F.col("surviving_entity_id").alias("id")), ["case_id", "id"], "left_anti")
-    touched = log.select("case_id", F.explode("merged_entity_ids").alias("node"))
-    at = lambda df, c: df.join(touched.select("case_id", F.col("node").alias(c)).distinct(), ["case_id", c], "left_semi").select(*df.columns)
+    undone = log.select(F.col("case_id").alias("_case"), F.col("surviving_entity_id").alias("_to"), F.explode("merged_entity_ids").alias("_node"))
+    at = lambda df, c: df.join(undone.select(F.col("_case").alias("case_id"), F.col("_node").alias(c)).distinct(), ["case_id", c], "left_semi").select(*df.columns)
     restored = at(original_edges, "source_id").unionByName(at(original_edges, "target_id")).distinct()
-    rest = edges.where(~F.col("id").contains("::")).join(restored.select("case_id", "id"), ["case_id", "id"], "left_anti").select(*edges.columns)
+    part = lambda k: F.regexp_extract("id", r"::([^:]*)->([^:]*)$", k)
+    moved = edges.withColumns({"_from": part(1), "_onto": part(2)})
+    mine = (F.col("_from") == F.col("_node")) & (F.col("_onto") == F.col("_to")) & (F.col("case_id") == F.col("_case"))
+    rest = moved.join(undone, mine, "left_anti").select(*edges.columns)
+    rest = rest.join(restored.select("case_id", "id"), ["case_id", "id"], "left_anti").select(*edges.columns)
     return kept.unionByName(back.select(*kept.columns)), rest.unionByName(restored)
 
 
@@ -127,9 +125,61 @@ def review_queue(pairs: DataFrame) -> DataFrame:
 
 
 def decide(queue: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The queue after decisions (id, decision); accepted pairs can be merged as auto pairs."""
-    d = decisions.select("id", F.col("decision").alias("_d"))
-    return queue.join(d, "id", "left").withColumn("decision", F.when(F.col("decision") == "pending", F.coalesce("_d", "decision")).otherwise(F.col("decision"))).drop("_d")
+    """The queue after decisions (id, decision): accepted or rejected, once and for all. Its
+    accepted pairs are merged by ``merge_map`` like automatic ones."""
+    allowed = F.when(F.col("decision").isin("accepted", "rejected"), F.col("decision")).otherwise(F.raise_error(F.concat(F.lit("unknown decision "), "decision")))
+    d = decisions.select("id", allowed.alias("_d"))
+    return queue.join(d, "id", "left").withColumn("decision", F.when(F.col("decision") == "pending", F.coalesce("_d", "decision")).otherwise(F.col("decision"))).select(*queue.columns)
+
+
+def pending_reviews(queue: DataFrame, case_id: str | None = None) -> DataFrame:
+    """Open questions of all cases or of one, the surest first."""
+    own = queue.where("decision = 'pending'")
+    return (own if case_id is None else own.where(F.col("case_id") == case_id)).orderBy(F.desc("confidence"), "id")
+
+
+def resolve_case(entities: DataFrame, edges: DataFrame, cfg: Resolution = Resolution(), aliases: bool = False, reviewed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The whole resolution of all cases at once: entities and edges after merging, the merge
+    log, the review queue, and every pair with its rule. Phones that different people share
+    become nodes that they use. ``reviewed`` is a queue with decisions: accepted pairs merge,
+    rejected ones neither merge nor come up again."""
+    scratch = Scratch(entities.sparkSession, "resolve")
+    pairs = classify_pairs(entities, cfg)
+    if aliases:
+        more = alias_pairs(entities, cfg).withColumn("phones", F.array().cast("array<string>")).where("rule is not null")
+        pairs = pairs.unionByName(more.select(*pairs.columns))
+    pairs = pairs.withColumn("decision", F.lit(None).cast("string"))
+    if reviewed is not None:
+        known = reviewed.where("decision <> 'pending'").groupBy("case_id", "a", "b").agg(F.max("decision").alias("_d"))
+        pairs = pairs.join(known, ["case_id", "a", "b"], "left").withColumn("decision", F.col("_d")).drop("_d").where("decision is null or decision <> 'rejected'")
+    pairs = scratch.save(pairs, "pairs")
+    mapping = scratch.save(merge_map(pairs), "map")
+    merged, moved, log = merge_entities(entities, edges, mapping)
+    nodes, uses = shared_phone_nodes(pairs)
+    gone = mapping.where("id <> survivor").select("case_id", F.col("id").alias("source_id"), "survivor")
+    uses = uses.join(gone, ["case_id", "source_id"], "left").withColumn("source_id", F.coalesce("survivor", "source_id")).withColumn("id", F.concat("source_id", F.lit("->"), "target_id", F.lit(":USES"))).drop("survivor").dropDuplicates(["case_id", "id"])
+    new = nodes.join(merged.select("case_id", "id"), ["case_id", "id"], "left_anti")
+    fresh = uses.join(moved.select("case_id", "id"), ["case_id", "id"], "left_anti")
+    return {"entities": merged.unionByName(new, allowMissingColumns=True), "edges": moved.unionByName(fresh, allowMissingColumns=True), "log": log, "reviews": review_queue(pairs.where("decision is null")), "pairs": pairs}
+
+
+def ingest_canonical(entities: DataFrame, edges: DataFrame, sources: DataFrame, new: DataFrame, refs: DataFrame, **options) -> dict[str, DataFrame]:
+    """New canonical entities (case_id, name, aliases, phone_numbers, entity_type,
+    base_risk_score) under their node ids, once per id, with what supports them
+    (refs: the same keys and source_type, record_id, field, span_start, span_end, confidence);
+    then the case is resolved once for the whole batch."""
+    keyed = lambda df: df.withColumn("id", S.node_id("case_id", F.lower("entity_type"), "name", F.array_sort(F.transform("phone_numbers", S.normalize_phone))))
+    every = state.upsert_entities(entities, keyed(new).select(*entities.columns))
+    found = keyed(refs).withColumnRenamed("id", "entity_id").select(*sources.columns)
+    return resolve_case(every, edges, **options) | {"sources": sources.unionByName(found).distinct()}
+
+
+def entity_detail(entities: DataFrame, sources: DataFrame, log: DataFrame) -> DataFrame:
+    """Each entity with its sources and the merges that it took part in, by whole ids."""
+    own = sources.groupBy("case_id", F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("source_type", "record_id", "span_start", "span_end", "confidence"))).alias("sources"))
+    part = log.select("case_id", F.explode(F.array_distinct(F.concat("merged_entity_ids", F.array("surviving_entity_id")))).alias("id"), F.col("id").alias("merge"))
+    merges = part.groupBy("case_id", "id").agg(F.array_sort(F.collect_list("merge")).alias("merges"))
+    return entities.join(own, ["case_id", "id"], "left").join(merges, ["case_id", "id"], "left")
 
 
 def shared_phone_nodes(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -66,3 +66,68 @@ def overview(entities: DataFrame) -> DataFrame:
     """Counts of a case's suspects, phones and accounts."""
     kind = F.upper("entity_type")
     return entities.groupBy("case_id").agg(F.count_if(kind == "PERSON").alias("suspects"), F.sum(F.size(F.coalesce("phone_numbers", F.array().cast("array<string>")))).alias("phones"), F.count_if(kind == "BANK_ACCOUNT").alias("accounts"))
+
+
+# ---------------------------------------------------------------- evidence, checks, tables
+
+TABLES = {
+    "cases": "id string, title string, description string, status string, created_at timestamp_ntz",
+    "entities": "id string, case_id string, name string, aliases array<string>, phone_numbers array<string>, entity_type string, base_risk_score double",
+    "edges": "id string, case_id string, source_id string, target_id string, relation_type string, confidence_score double, evidence_source string, status string, reviewer string, reviewed_at timestamp_ntz",
+    "evidence_sources": "id bigint, edge_id string, source_type string, reference string, details string",
+    "audit_log": "id bigint, timestamp string, actor_id string, action string, case_id string, previous_hash string, current_hash string",
+    "merge_log": "id string, case_id string, surviving_entity_id string, merged_entity_ids array<string>, rule string, confidence double, decision string, decided_by string, created_at timestamp_ntz",
+    "entity_sources": "entity_id string, case_id string, source_type string, record_id string, field string, span_start int, span_end int, confidence double",
+    "extraction_runs": "run_key string, case_id string, source_type string, record_id string, content_hash string, created_at timestamp_ntz",
+    "findings": "id string, case_id string, rule_id string, severity string, score double, entity_ids array<string>, entity_set_hash string, explanation string, evidence array<struct<edge_id:string,source_type:string,reference:string,detail:string>>, detected_at timestamp_ntz, status string",
+    "edge_props": "edge_id string, key string, value string",
+}
+
+
+def bootstrap(spark, folder: str) -> list[str]:
+    """Empty tables where the folder has none yet; those that were made."""
+    made = []
+    for name, kind in TABLES.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            spark.createDataFrame([], kind).write.parquet(f"{folder}/{name}")
+            made.append(name)
+    return made
+
+
+def append_evidence(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """Plain append (edge_id, source_type, reference, details), numbered after the stored; the
+    numbers rise within a partition and have gaps."""
+    last = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    rows = new.withColumn("_k", F.monotonically_increasing_id()).crossJoin(F.broadcast(last))
+    return stored.unionByName(rows.withColumn("id", F.col("_last") + 1 + F.col("_k")).select(*stored.columns))
+
+
+def replace_evidence(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """All evidence of the edges that ``new`` names gives way to it."""
+    return append_evidence(stored.join(new.select("edge_id").distinct(), "edge_id", "left_anti").select(*stored.columns), new)
+
+
+def checked(edges: DataFrame) -> DataFrame:
+    """Edges whose confidence lies in [0, 1]; any other is an error when read."""
+    fine = F.col("confidence_score").isNull() | F.col("confidence_score").between(0, 1)
+    return edges.withColumn("confidence_score", F.when(fine, F.col("confidence_score")).otherwise(F.raise_error(F.concat(F.lit("confidence out of range: "), "id"))))
+
+
+def graph_links(edges: DataFrame) -> DataFrame:
+    """Edges as a drawn graph needs them."""
+    return edges.select(F.col("id").alias("link_id"), F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relation_type").alias("label"), F.col("confidence_score").alias("confidence"), "status")
+
+
+def ingest_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, name, n): what an ingest brought, by entity and relation type."""
+    n = nodes.groupBy(F.lit("node").alias("kind"), F.col("entity_type").alias("name")).agg(F.count("*").alias("n"))
+    return n.unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("relation_type").alias("name")).agg(F.count("*").alias("n")))
+
+
+def entities_of(entities: DataFrame, case_id: str) -> DataFrame:
+    return entities.where(F.col("case_id") == case_id).orderBy("id")
+
+
+def edges_of(edges: DataFrame, case_id: str) -> DataFrame:
+    return edges.where(F.col("case_id") == case_id).orderBy("id")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import EDGE_CONFIDENCE
@@ -55,9 +54,10 @@ def _records(df: DataFrame, source_type: str, **given: Column) -> DataFrame:
 
 
 def _numbered(df: DataFrame, prefix: str, *ids: Column) -> tuple[DataFrame, Column]:
-    """The first id that is there, else the prefix and a number that no other row has."""
-    df = df.withColumn("_n", F.monotonically_increasing_id() + 1)
-    return df, F.coalesce(*[_blank(i) for i in ids], F.concat(F.lit(prefix), F.col("_n").cast("string")))
+    """The first id that is there, else the prefix and a hash of the row, so that a row that
+    comes again has the id that it had."""
+    df = df.withColumn("_n", F.substring(F.sha2(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}), 256), 1, 12))
+    return df, F.coalesce(*[_blank(i) for i in ids], F.concat(F.lit(prefix), F.col("_n")))
 
 
 @register("criminal_history")
@@ -122,15 +122,17 @@ def observed_at(records: DataFrame, case_id: str) -> tuple[DataFrame, DataFrame]
     return edges, e.where("at <> ''").select(F.col("id").alias("edge_id"), F.lit("observed_at").alias("key"), F.col("at").alias("value"))
 
 
-def dispatch(source_type: str, rows: DataFrame, case_id: str) -> dict[str, DataFrame]:
-    """A feed's rows to records, nodes, edges and edge properties; surveillance also yields
-    its observations."""
+def dispatch(source_type: str, rows: DataFrame, case_id: str, runs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """A feed's rows to records, nodes, edges and edge properties. Texts are extracted and
+    ingested, those in ``runs`` (run_key) not again; surveillance also yields its
+    observations."""
+    from ..operators.extract import ingest_text
+
     records = get_adapter(source_type)(rows)
     out = {"records": records, "nodes": person_nodes(records, case_id), "edges": relation_edges(records, case_id)}
+    texts = records.where("kind = 'text' and text <> ''").select("record_id", "text")
+    none = records.sparkSession.createDataFrame([], "run_key string") if runs is None else runs
+    out["text"] = ingest_text(texts, none, case_id, source_type)
     if source_type == "surveillance_report":
         out["observed"], out["properties"] = observed_at(records, case_id)
     return out
-
-
-def last_per(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")

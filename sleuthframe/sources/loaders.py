@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,10 +18,15 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_csv_text(spark: SparkSession, text: str) -> DataFrame:
-    lines = text.splitlines()
-    names = [n.strip() for n in lines[0].split(",")]
-    raw = spark.createDataFrame([(x,) for x in lines[1:] if x.strip()], "value string")
-    return raw.select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names)).alias("r")).select("r.*")
+    """A CSV text with a header as rows of texts; quoted values may hold line breaks."""
+    import csv
+    import io
+
+    rows = list(csv.reader(io.StringIO(text, newline="")))
+    names = [n.strip() for n in rows[0]] if rows else []
+    width = len(names)
+    cut = [tuple((*r, *[None] * width)[:width]) for r in rows[1:] if any(r)]
+    return spark.createDataFrame(cut, ", ".join(f"`{n}` string" for n in names))
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -86,13 +93,70 @@ def txn_edges(txns: DataFrame, case_id: str) -> DataFrame:
     return _edges(e, case_id, "SUSPICIOUS_TRANSFER", EDGE_CONFIDENCE["txn"], F.concat_ws(" ", F.lit("TXN"), "at", F.concat(F.lit("INR "), "amount")))
 
 
+def fir_people(firs: DataFrame, case_id: str) -> DataFrame:
+    """People named in reports (case_id, id, name, phone_numbers): the phones of a paragraph
+    go with every person in it."""
+    para = firs.select("fir_no", F.posexplode(S.paragraphs("text")).alias("n", "p"))
+    who = F.array_distinct(F.transform(F.concat(S.find_all("p", S.NAME), S.find_all("p", S.DEVANAGARI_NAME)), lambda v: F.trim(v)))
+    phones = F.filter(F.transform(S.find_all("p", S.PHONE), S.canonical_phone), lambda v: v != "")
+    rows = para.select(F.explode(who).alias("name"), phones.alias("phones")).select(S.node_id(F.lit(case_id), F.lit("person"), "name").alias("id"), "name", "phones")
+    return rows.groupBy("id").agg(F.min("name").alias("name"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("phones")))).alias("phone_numbers")).select(F.lit(case_id).alias("case_id"), "id", "name", "phone_numbers", F.lit("PERSON").alias("entity_type"))
+
+
+def end_nodes(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Nodes of phones and accounts at the ends of edges that no known entity stands for."""
+    ends = edges.select("case_id", F.explode(F.array("source_id", "target_id")).alias("id")).distinct().join(known.select("id"), "id", "left_anti")
+    kind = F.when(F.col("id").startswith("PHONE-"), "PHONE").when(F.col("id").startswith("ACCT-"), "BANK_ACCOUNT").otherwise("PERSON")
+    phones = F.when(F.col("id").startswith("PHONE-"), F.array(S.canonical_phone(F.substring("id", 7, 20)))).otherwise(F.array().cast("array<string>"))
+    return ends.select("case_id", "id", F.regexp_replace("id", "^(PHONE|ACCT)-", "").alias("name"), phones.alias("phone_numbers"), kind.alias("entity_type"))
+
+
+def account_owner(edges: DataFrame, entities: DataFrame) -> DataFrame:
+    """Ends of transfers that bear an entity's name (any type; least id) become that entity."""
+    owner = entities.groupBy("case_id", F.lower(F.trim("name")).alias("_k")).agg(F.min("id").alias("_o"))
+    for end in ("source_id", "target_id"):
+        key = F.lower(F.regexp_replace(end, "^ACCT-", ""))
+        edges = edges.withColumn("_k", key).join(owner, ["case_id", "_k"], "left").withColumn(end, F.coalesce("_o", end)).drop("_k", "_o")
+    return edges.where("source_id <> target_id")
+
+
 def load_folder(spark: SparkSession, folder: str, case_id: str) -> dict[str, DataFrame]:
     """Reports, calls and transfers of a folder as nodes and edges."""
-    nodes, mentioned = fir_edges(read_either(spark, folder, "firs"), case_id)
-    people = nodes.withColumn("phone_numbers", F.array().cast("array<string>"))
+    firs = read_either(spark, folder, "firs")
+    _, mentioned = fir_edges(firs, case_id)
+    people = fir_people(firs, case_id)
     calls = cdr_edges(read_either(spark, folder, "cdrs"), people, case_id)
-    transfers = txn_edges(read_either(spark, folder, "transactions"), case_id)
-    return {"nodes": nodes, "edges": mentioned.unionByName(calls).unionByName(transfers)}
+    transfers = account_owner(txn_edges(read_either(spark, folder, "transactions"), case_id), people)
+    edges = mentioned.unionByName(calls).unionByName(transfers.select(*mentioned.columns))
+    return {"nodes": people.unionByName(end_nodes(edges, people)), "edges": edges}
+
+
+def load_sources(spark: SparkSession, folder: str, case_id: str, feeds: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The run over all seven sources: a folder's reports, calls and transfers, and the four
+    feeds by their types; then the case is resolved once. Entities, edges, edge properties,
+    spans, merge log, reviews and counts."""
+    from ..operators import resolve, state
+    from .adapters import dispatch
+
+    base = load_folder(spark, folder, case_id)
+    nodes, edges, spans, props = [base["nodes"]], [base["edges"]], [], []
+    for kind, rows in feeds.items():
+        out = dispatch(kind, rows, case_id)
+        nodes += [out["nodes"], out["text"]["nodes"]]
+        edges += [out["edges"], out["text"]["edges"], *([out["observed"]] if "observed" in out else [])]
+        spans.append(out["text"]["spans"])
+        props += [out["properties"]] if "properties" in out else []
+    every = lambda parts: functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    none = F.array().cast("array<string>")
+    people = every(nodes)
+    for c in ("aliases", "phone_numbers"):
+        people = people.withColumn(c, F.coalesce(F.col(c), none) if c in people.columns else none)
+    sets = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("aliases", "phone_numbers")]
+    people = people.groupBy("case_id", "id").agg(F.min("name").alias("name"), *sets, F.min("entity_type").alias("entity_type")).withColumn("base_risk_score", F.lit(50.0))
+    links = every(edges).dropDuplicates(["case_id", "id"])
+    done = resolve.resolve_case(people, links)
+    stats = state.ingest_stats(done["entities"], done["edges"])
+    return done | {"stats": stats} | ({"spans": every(spans)} if spans else {}) | ({"properties": every(props)} if props else {})
 
 
 def synthetic_case(spark: SparkSession, calls: int = 500, transfers: int = 100) -> dict[str, DataFrame]:

@@ -35,10 +35,9 @@ def store_findings(edges: DataFrame, path: str, checkpoint: str, cfg: detect.Det
         part.write.mode("overwrite").parquet(f"{path}/edges/batch={number}")
         every = spark.read.parquet(f"{path}/edges")
         found = detect.scan(every.drop("batch"), cfg)
-        try:
-            stored = spark.read.parquet(f"{path}/findings").where(F.col("batch") < number)
-        except Exception:  # noqa: BLE001  the first batch finds no table
-            stored = found.limit(0)
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/findings")
+        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+        stored = spark.read.parquet(f"{path}/findings").where(F.col("batch") < number) if there else found.limit(0)
         detect.new_findings(found, stored).write.mode("overwrite").parquet(f"{path}/findings/batch={number}")
 
     return edges.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

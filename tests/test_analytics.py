@@ -31,6 +31,7 @@ def test_circular_flow(spark):
     rows = [("A", "B", "TRANSFER", at(0), 1.0), ("B", "C", "TRANSFER", at(5), 1.0), ("C", "A", "TRANSFER", at(10), 1.0), ("X", "Y", "TRANSFER", at(0), 1.0), ("Y", "Z", "TRANSFER", at(1), 1.0), ("Z", "X", "TRANSFER", at(60), 1.0), ("A", "A", "TRANSFER", at(1), 1.0)]
     got = detect.circular_flow(make(spark, rows)).collect()
     assert [(r.entity_ids, r.span_days, r.score, r.severity) for r in got] == [(["A", "B", "C"], 10, 1.0, "high")]
+    assert [(x.edge_id, x.source_type) for x in got[0].evidence] == [(x, "BANK_TXN") for x in got[0].legs]
 
 
 def test_hub_and_follow(spark):
@@ -69,6 +70,10 @@ def test_findings_store(spark):
     assert found.count() == 1 and detect.new_findings(found, found).count() == 0
     rows = found.withColumn("id", F.lit("f1"))
     assert detect.set_status(rows, spark.createDataFrame([("f1", "dismissed")], "id string, status string")).first().status == "dismissed"
+    assert [r.evidence[0].detail for r in found.collect()] == ["H<->P0"] and found.first().id.startswith("C:P2_burner_hub:")
+    assert detect.list_findings(rows, "C", "open").count() == 1 and detect.list_findings(rows, "C", "dismissed").count() == 0
+    with pytest.raises(Exception, match="no finding"):
+        detect.set_status(rows, spark.createDataFrame([("f2", "open")], "id string, status string")).collect()
     with pytest.raises(Exception, match="unknown status"):
         detect.set_status(rows, spark.createDataFrame([("f1", "gone")], "id string, status string")).collect()
 
@@ -133,6 +138,75 @@ def test_resolution(spark):
     assert name_similarity("R. Kumar", "Ramesh Kumar") >= 85
 
 
+def test_unmerge_leaves_other_merges(spark):
+    p = [("C", k, "Name " + k, [], [], "PERSON", 1.0) for k in "12349"]
+    people = spark.createDataFrame(p, PERSON)
+    mapping = spark.createDataFrame([("C", "1", "1"), ("C", "2", "1"), ("C", "3", "3"), ("C", "4", "3")], "case_id string, id string, survivor string")
+    e = spark.createDataFrame([("C", "x", "2", "9", "CALLED"), ("C", "y", "4", "9", "CALLED")], "case_id string, id string, source_id string, target_id string, relation_type string")
+    merged, moved, log = resolve.merge_entities(people, e, mapping)
+    back, old = resolve.unmerge(merged, moved, e, log.where("surviving_entity_id = '1'"))
+    assert {r.id for r in back.collect()} == set("1239") and {(r.id, r.source_id) for r in old.collect()} == {("x", "2"), ("y::4->3", "3")}
+
+
+def test_resolve_case(spark):
+    p = [("C", "1", "R. Kumar", [], ["9876543210"], "PERSON", 50.0), ("C", "2", "Ramesh Kumar", [], ["09876543210"], "PERSON", 60.0), ("C", "3", "Ramesh Khanna", [], ["9876543210"], "PERSON", 10.0), ("C", "4", "Zara Quux", [], ["9876543210"], "PERSON", 10.0)]
+    people = spark.createDataFrame(p, PERSON)
+    e = spark.createDataFrame([("C", "x", "2", "3", "CALLED", 0.9, "PENDING")], "case_id string, id string, source_id string, target_id string, relation_type string, confidence_score double, status string")
+    done = resolve.resolve_case(people, e)
+    assert {r.id for r in done["entities"].collect()} == {"1", "3", "4", "PHONE-9876543210"}
+    assert {r.id for r in done["edges"].collect()} >= {"x::2->1", "4->PHONE-9876543210:USES"}
+    q = done["reviews"]
+    ask = resolve.pending_reviews(q, "C").where("a = '2' and b = '3'").collect()
+    assert len(ask) == 1 and resolve.pending_reviews(q, "D").count() == 0
+    decided = resolve.decide(q, spark.createDataFrame([(ask[0].id, "accepted")], "id string, decision string"))
+    again = resolve.resolve_case(people, e, reviewed=decided)
+    assert {r.id for r in again["entities"].where("entity_type = 'PERSON'").collect()} == {"1", "4"}
+    none = spark.createDataFrame([], state.TABLES["entity_sources"])
+    new = spark.createDataFrame([("C", "Amit Verma", [], ["9876500000"], "PERSON", 1.0)] * 2, "case_id string, name string, aliases array<string>, phone_numbers array<string>, entity_type string, base_risk_score double")
+    refs = new.select("case_id", "entity_type", "name", "phone_numbers", F.lit("fir").alias("source_type"), F.lit("F1").alias("record_id"), F.lit("text").alias("field"), F.lit(0).alias("span_start"), F.lit(4).alias("span_end"), F.lit(1.0).alias("confidence"))
+    got = resolve.ingest_canonical(people, e, none, new, refs)
+    assert got["entities"].where("name = 'Amit Verma'").count() == 1 and got["sources"].count() == 1
+
+
+def seeded(spark):
+    day = lambda m, d, h=10: dt.datetime(2023, m, d, h)
+    rows = [("P1-A", "P1-B", "TRANSFER", day(7, 5), 250000.0), ("P1-B", "P1-C", "TRANSFER", day(7, 10, 11), 245000.0), ("P1-C", "P1-A", "TRANSFER", day(7, 15, 12), 248000.0)]
+    rows += [("P2-HUB", f"P2-P{k + 1}", "CALLED", day(6, 1 + 4 * k), None) for k in range(5)]
+    rows += [x for k in (0, 5, 10) for x in (("P3-A", "P3-B", "CALLED", day(7, 1 + k, 9), None), ("P3-A", "P3-B", "TRANSFER", day(7, 2 + k, 15), 11000.0))]
+    rows += [("P4-A", "P4-B", "CALLED", day(8, 1 + k), None) for k in range(14)] + [("P4-A", "P4-B", "CALLED", day(8, 15, 9 + k), None) for k in range(8)]
+    rows += [("P4-S1", "P4-S2", "CALLED", day(8, 1 + k), None) for k in range(21)]
+    return rows
+
+
+def test_seeded_patterns(spark):
+    """The rule detectors' seed: four findings, and the spike that goes with the burst."""
+    found = detect.scan(make(spark, seeded(spark))).collect()
+    assert {(r.rule_id[:2], r.entity_ids[0]) for r in found} == {("P1", "P1-A"), ("P2", "P2-HUB"), ("P3", "P3-A"), ("P4", "P4-A"), ("A2", "P4-A"), ("A2", "P4-B")}
+    by = {r.rule_id[:2]: r for r in found}
+    assert by["P1"].score == 1.0 and by["P3"].score == pytest.approx(0.85) and by["P4"].score == pytest.approx(0.85) and by["P2"].entity_ids == ["P2-HUB", *(f"P2-P{k}" for k in range(1, 6))]
+    assert all(r.evidence and r.explanation and r.detected_at and r.id == f"C:{r.rule_id}:{r.entity_set_hash}" for r in found)
+    assert "z=7.0" in by["P4"].explanation and "16 days" in by["P2"].explanation and len(by["P3"].evidence) == 6
+
+
+def test_seeded_anomalies(spark):
+    day = lambda m, d, h=10: dt.datetime(2023, m, d, h)
+    rows = [("A1-S", "A1-B" if k == 5 else f"A1-P{k}", "TRANSFER", day(9, 1 + k), 10000.0 + 500 * k) for k in range(6)] + [("A1-S", "A1-B", "TRANSFER", day(9, 20), 500000.0)]
+    rows += [("A2-S", f"A2-P{(k + j) % 9}", "CALLED", day(9, 1 + k, 9 + j), None) for k in range(14) for j in range((2, 3, 4)[k % 3])]
+    rows += [("A2-S", f"A2-P{j % 9}", "CALLED", day(9, 15, 8 + j), None) for j in range(12)]
+    rows += [("A2-NEW", f"A2-Q{j}", "CALLED", day(9, d, 8 + j), None) for d, n in ((1, 1), (3, 1), (5, 9)) for j in range(n)]
+    rows += [("A3-EXP", f"A3-O{k}", "CALLED", day(9, 30) - dt.timedelta(days=d), None) for k, d in enumerate((90, 75, 60, 50))]
+    rows += [("A3-EXP", f"A3-N{k}", "CALLED", day(9, 24 + k % 6, 11), None) for k in range(9)]
+    rows += [("A4-N", f"A4-P{k % 2 + 1}", "CALLED", day(9, 1 + k, 2 if k < 8 else 14), None) for k in range(11)]
+    rows += [("A0-N1", "A0-N2", "CALLED", day(9, 1 + k, 12), None) for k in range(10)] + [("A0-N1", "A0-N2", "TRANSFER", day(8, 3 + k), 11000.0 + 500 * k) for k in range(2)]
+    found = detect.scan(make(spark, rows)).collect()
+    got = {(r.rule_id[:2], r.entity_ids[0]): r for r in found}
+    assert {("A1", "A1-S"), ("A1", "A1-B"), ("A2", "A2-S"), ("A2", "A2-NEW"), ("A3", "A3-EXP"), ("A4", "A4-N")} <= set(got)
+    assert not any(x.startswith("A0") for r in found for x in r.entity_ids)
+    assert "z=" in got["A1", "A1-S"].explanation and "median" in got["A2", "A2-S"].explanation and "fallback" in got["A2", "A2-NEW"].explanation
+    assert "new contacts" in got["A3", "A3-EXP"].explanation and "00" in got["A4", "A4-N"].explanation and got["A1", "A1-S"].evidence[0].source_type == "BANK_TXN"
+    assert all(r.evidence and r.severity in ("low", "medium", "high") for r in found)
+
+
 def test_merge_map_settles_or_raises(spark):
     chain = spark.createDataFrame([("c", f"p{k:02d}", f"p{k + 1:02d}", "auto_r1") for k in range(20)], "case_id string, a string, b string, rule string")
     with pytest.raises(RuntimeError):
@@ -200,17 +274,34 @@ def test_state(spark):
     assert state.insert_ignore(old, seen, ["id"]).first().status == "PENDING"
 
 
+def test_evidence_and_tables(spark, tmp_path):
+    assert len(state.bootstrap(spark, str(tmp_path))) == 10 and state.bootstrap(spark, str(tmp_path)) == []
+    none = spark.read.parquet(f"{tmp_path}/evidence_sources")
+    new = spark.createDataFrame([("e1", "CDR", "r", "{}"), ("e2", "CDR", "r", "{}")], "edge_id string, source_type string, reference string, details string")
+    twice = state.append_evidence(state.append_evidence(none, new), new)
+    assert twice.count() == 4 and twice.select("id").distinct().count() == 4
+    assert sorted(r.edge_id for r in state.replace_evidence(twice, new.limit(1)).collect()) == ["e1", "e2", "e2"]
+    bad = spark.createDataFrame([("x", 1.5)], "id string, confidence_score double")
+    with pytest.raises(Exception, match="out of range"):
+        state.checked(bad).collect()
+
+
 def test_adapters(spark):
     assert adapters.source_types() == ["agency_report", "criminal_history", "social_media", "surveillance_report"]
     with pytest.raises(KeyError):
         adapters.get_adapter("x")
     rows = loaders.read_csv_text(spark, "record_id,name,aliases,phone,address,prior_case_ids\nR1,Ravi Das,RD|Rav,9876543210,Here,C1;C2\n,No Id,,,,")
     out = adapters.dispatch("criminal_history", rows, "C")
+    again = {r.record_id for r in adapters.dispatch("criminal_history", rows.repartition(3), "C")["records"].collect()}
+    assert {r.record_id for r in out["records"].collect()} == again
+    assert loaders.read_csv_text(spark, 'a,b\n"x\ny",2\n').collect() == [("x\ny", "2")]
     assert {r.record_id[:3] for r in out["records"].collect()} == {"R1", "CH-"} and out["edges"].count() == 2 and out["nodes"].count() == 4
     posts = loaders.read_json_text(spark, '[{"account_handle":"@a","mentions":["B C","{\\"handle\\":\\"@d\\"}",""]}, 5]', "record_id string, account_handle string, author_name string, mentions array<string>")
     assert sorted(r.relation_type for r in adapters.dispatch("social_media", posts, "C")["edges"].collect()) == ["COMMUNICATES_WITH"] * 2
     text = spark.createDataFrame([("S1", "observed_at: 2023-01-02 03:04:05\nlocation: Old Fort\nRamesh Kumar was seen.")], "record_id string, text string")
     seen = adapters.dispatch("surveillance_report", text, "C")
+    assert seen["text"]["nodes"].where("entity_type = 'PERSON'").count() >= 1 and seen["text"]["runs"].count() == 1
+    assert adapters.dispatch("surveillance_report", text, "C", seen["text"]["runs"])["text"]["nodes"].count() == 0
     assert seen["observed"].count() == 1 and seen["properties"].first().value == "2023-01-02T03:04:05+00:00"
 
 
@@ -227,6 +318,28 @@ def test_loaders(spark, tmp_path):
     assert nodes.count() == 2 and e.count() == 1
 
 
+def test_seven_sources(spark, tmp_path):
+    firs = [("F1", "Ramesh Kumar met Suresh Sharma near 9876543210. Nobody came.")]
+    loaders.write(spark.createDataFrame(firs, "fir_no string, text string"), f"{tmp_path}/firs.json")
+    calls = [("9876543210", "9000000009", "2023-05-01 10:00:00", 60), ("9000000009", "", "2023-05-01 11:00:00", 60)]
+    loaders.write(spark.createDataFrame(calls, "caller string, callee string, timestamp string, duration_sec int"), f"{tmp_path}/cdrs.csv", "csv")
+    txns = [("Ramesh Kumar", "X1", "500", "2023-05-02")]
+    loaders.write(spark.createDataFrame(txns, "from_acct string, to_acct string, amount string, timestamp string"), f"{tmp_path}/transactions.csv", "csv")
+    feeds = {
+        "criminal_history": spark.createDataFrame([("R1", "Ramesh Kumar", "Ramu", "9876543210", "C7")], "record_id string, name string, aliases string, phone string, prior_case_ids string"),
+        "surveillance_report": spark.createDataFrame([("S1", "2023-01-02 03:04:05", "Old Fort", "Ramesh Kumar was seen with Amit Verma.")], "record_id string, observed_at string, location string, text string"),
+        "social_media": spark.createDataFrame([("@a", "Amit Verma", ["Suresh Sharma"])], "account_handle string, author_name string, mentions array<string>"),
+        "agency_report": spark.createDataFrame([("G1", "Suresh Sharma called 9111111111 today.")], "record_id string, text string"),
+    }
+    done = loaders.load_sources(spark, str(tmp_path), "C", feeds)
+    nodes = {r.name: r for r in done["entities"].collect()}
+    assert {"Ramesh Kumar", "Suresh Sharma", "Amit Verma", "9000000009", "X1", "C7"} <= set(nodes)
+    assert "+91-9876543210" in nodes["Ramesh Kumar"].phone_numbers and "Ramu" in nodes["Ramesh Kumar"].aliases
+    kinds = {r.relation_type for r in done["edges"].collect()}
+    assert {"CO_MENTIONED", "CALLED", "SUSPICIOUS_TRANSFER", "ASSOCIATED_WITH", "COMMUNICATES_WITH", "OBSERVED_AT"} <= kinds
+    assert done["properties"].count() == 1 and done["stats"].where("kind = 'node'").count() >= 3
+
+
 def test_streams(spark, tmp_path):
     from sleuthframe.streaming import jobs
 
