@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Detection
@@ -14,7 +16,7 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 #: Thresholds that give these tables findings; the defaults are in the configuration.
-TUNED = Detection(follow_hours=6, hub_peers=45, odd_times=1.2, odd_ratio=0.25)
+TUNED = Detection(follow_hours=6, hub_peers=45, odd_times=1.2, odd_ratio=0.25, burst_z=2.0)
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -28,6 +30,11 @@ def query(sql: str | None = None, name: str | None = None):
     return keep
 
 
+def refs() -> Column:
+    """What a finding's evidence refers to, as one text."""
+    return F.array_join(F.transform("evidence", lambda e: e["reference"]), ",").alias("refs")
+
+
 def r6(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
@@ -51,10 +58,10 @@ j AS (SELECT b.*, n < 5 AS fallback, CASE WHEN n >= 5 THEN med ELSE cm END AS me
 z AS (SELECT *, CASE WHEN d = 0 THEN (whole - med) / greatest(1, abs(med)) ELSE 0.6745::DOUBLE * (whole - med) / d END AS z FROM j),
 s AS (SELECT *, greatest(0, least(1, 0.4::DOUBLE + 0.08::DOUBLE * z)) AS score FROM z WHERE z >= 3.5),
 r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, id) AS k FROM s)
-SELECT node, id AS edge_id, amount, round(z, 6) AS z, fallback, round(score, 6) AS score, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS severity FROM r WHERE k = 1""")
+SELECT node, id AS edge_id, id AS refs, amount, round(z, 6) AS z, fallback, round(score, 6) AS score, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS severity FROM r WHERE k = 1""")
 def a1_amount_outlier(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = detect.amount_outlier(domain.purchases(spark, sf_dir))
-    return r6(out.select("node", "edge_id", "amount", "z", "fallback", "score", "severity"), "z", "score")
+    return r6(out.select("node", "edge_id", refs(), "amount", "z", "fallback", "score", "severity"), "z", "score")
 
 
 @query(f"""
@@ -63,31 +70,35 @@ g AS MATERIALIZED (SELECT node, ts::DATE AS day, count(*) AS n FROM b GROUP BY A
 p AS (SELECT node, day, n AS peak, row_number() OVER (PARTITION BY node ORDER BY n DESC, day) AS r FROM g),
 j AS (SELECT p.node, day, peak, days < 5 AS fallback, CASE WHEN days >= 5 THEN med ELSE cm END AS med, CASE WHEN days >= 5 THEN d ELSE cd END AS d FROM p JOIN m USING (node), k WHERE r = 1 AND peak >= 8),
 z AS (SELECT *, CASE WHEN d = 0 THEN (peak - med) / greatest(1, abs(med)) ELSE 0.6745::DOUBLE * (peak - med) / d END AS z FROM j)
-SELECT node, day, peak, round(z, 6) AS z, fallback, round(greatest(0, least(1, 0.4::DOUBLE + 0.08::DOUBLE * z)), 6) AS score FROM z WHERE z >= 3.5""")
+SELECT node, day, node || '|' || strftime(day, '%Y-%m-%d') AS refs, peak, round(z, 6) AS z, fallback, round(greatest(0, least(1, 0.4::DOUBLE + 0.08::DOUBLE * z)), 6) AS score FROM z WHERE z >= 3.5""")
 def a2_volume_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(detect.volume_spike(domain.contacts(spark, sf_dir)).select("node", "day", "peak", "z", "fallback", "score"), "z", "score")
+    return r6(detect.volume_spike(domain.contacts(spark, sf_dir)).select("node", "day", refs(), "peak", "z", "fallback", "score"), "z", "score")
 
 
-@query(f"""
-WITH e AS ({PURCHASES}), b AS ({ENDS.format('ts')}), s AS MATERIALIZED (SELECT node, peer, min(ts) AS t FROM b GROUP BY ALL),
+def _expansion_sql(relation: str) -> str:
+    return f"""
+WITH e AS ({relation}), b AS ({ENDS.format('ts')}), s AS MATERIALIZED (SELECT node, peer, min(ts) AS t FROM b GROUP BY ALL),
 l AS MATERIALIZED (SELECT node, max(t) AS latest, min(t) AS earliest, count(*) AS n FROM s GROUP BY 1),
 d AS (SELECT n, floor((epoch_us(latest) - epoch_us(earliest)) / 86400000000.0) AS days FROM l WHERE n >= 2), k AS (SELECT median(n / greatest(1.0, (CASE WHEN days = 0 THEN 1 ELSE days END) / 7.0::DOUBLE)) AS rate FROM d),
 g AS (SELECT s.node, latest - INTERVAL 7 DAY AS cut, earliest, count(*) FILTER (t >= latest - INTERVAL 7 DAY) AS fresh, count(*) FILTER (t < latest - INTERVAL 7 DAY) AS before FROM s JOIN l USING (node) GROUP BY ALL),
 h AS (SELECT *, floor((epoch_us(cut) - epoch_us(earliest)) / 86400000000.0) AS days FROM g WHERE fresh >= 5),
 y AS (SELECT node, fresh, before < 2 AS fallback, greatest(0.5, CASE WHEN before >= 2 THEN before / greatest(1.0, (CASE WHEN days = 0 THEN 1 ELSE days END) / 7.0::DOUBLE) ELSE coalesce(rate, 1.0) END) AS typical FROM h, k)
-SELECT node, fresh, round(typical, 6) AS typical, fallback, round(least(1.0, 0.4::DOUBLE + 0.06::DOUBLE * fresh + 0.02::DOUBLE * (fresh / typical)), 6) AS score FROM y WHERE fresh >= 3.0 * typical""")
+SELECT node, node || '|new-7d' AS refs, fresh, round(typical, 6) AS typical, fallback, round(least(1.0, 0.4::DOUBLE + 0.06::DOUBLE * fresh + 0.02::DOUBLE * (fresh / typical)), 6) AS score FROM y WHERE fresh >= 3.0 * typical"""
+
+
+@query(_expansion_sql(PURCHASES))
 def a3_counterparty_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(detect.counterparty_expansion(domain.purchases(spark, sf_dir)).select("node", "fresh", "typical", "fallback", "score"), "typical", "score")
+    return r6(detect.counterparty_expansion(domain.purchases(spark, sf_dir)).select("node", refs(), "fresh", "typical", "fallback", "score"), "typical", "score")
 
 
 @query(f"""
 WITH e AS (SELECT * FROM ({CONTACTS}) WHERE source_id <> target_id), b AS ({ENDS.format('ts')}),
 g AS (SELECT node, count(*) AS total, count(*) FILTER (hour(ts) < 5) AS odd FROM b GROUP BY 1), k AS (SELECT sum(odd)::DOUBLE / sum(total) AS case_ratio FROM g),
 j AS (SELECT *, odd::DOUBLE / total AS ratio FROM g, k WHERE total >= 8)
-SELECT node, odd, total, round(ratio, 6) AS ratio, round(case_ratio, 6) AS case_ratio, round(least(1.0, 0.4::DOUBLE + 0.1::DOUBLE * (CASE WHEN case_ratio <= 0 THEN ratio * 10 ELSE ratio / greatest(case_ratio, 0.02) END)), 6) AS score
+SELECT node, node || '|odd-hour' AS refs, odd, total, round(ratio, 6) AS ratio, round(case_ratio, 6) AS case_ratio, round(least(1.0, 0.4::DOUBLE + 0.1::DOUBLE * (CASE WHEN case_ratio <= 0 THEN ratio * 10 ELSE ratio / greatest(case_ratio, 0.02) END)), 6) AS score
 FROM j WHERE ratio >= 0.25 AND (ratio >= 1.2::DOUBLE * greatest(case_ratio, 0.01) OR ratio >= 0.5)""")
 def a4_odd_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(detect.odd_hour(domain.contacts(spark, sf_dir), TUNED).select("node", "odd", "total", "ratio", "case_ratio", "score"), "ratio", "case_ratio", "score")
+    return r6(detect.odd_hour(domain.contacts(spark, sf_dir), TUNED).select("node", refs(), "odd", "total", "ratio", "case_ratio", "score"), "ratio", "case_ratio", "score")
 
 
 # ---------------------------------------------------------------- rule detectors
@@ -106,26 +117,26 @@ def _cycles_sql(longest: int, days: int) -> str:
 @query(f"""
 WITH e AS MATERIALIZED ({TRADE}), c AS MATERIALIZED ({_cycles_sql(5, 30)}),
 r AS (SELECT *, count(*) OVER (PARTITION BY ids) AS instances, row_number() OVER (PARTITION BY ids ORDER BY array_to_string(legs, ','), low, high) AS k FROM c)
-SELECT array_to_string(ids, '|') AS entity_ids, len(ids)::INTEGER AS length, floor((epoch_us(high) - epoch_us(low)) / 86400000000.0)::BIGINT AS span_days, array_to_string(legs, ',') AS legs, instances, round(least(1.0, 0.7::DOUBLE + 0.1::DOUBLE * len(ids)), 6) AS score FROM r WHERE k = 1""")
+SELECT array_to_string(ids, '|') AS entity_ids, len(ids)::INTEGER AS length, floor((epoch_us(high) - epoch_us(low)) / 86400000000.0)::BIGINT AS span_days, array_to_string(legs, ',') AS legs, array_to_string(legs, ',') AS refs, instances, round(least(1.0, 0.7::DOUBLE + 0.1::DOUBLE * len(ids)), 6) AS score FROM r WHERE k = 1""")
 def p1_circular_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = detect.circular_flow(domain.trade(spark, sf_dir))
-    return r6(out.select(F.array_join("entity_ids", "|").alias("entity_ids"), "length", "span_days", F.array_join("legs", ",").alias("legs"), "instances", "score"), "score")
+    return r6(out.select(F.array_join("entity_ids", "|").alias("entity_ids"), "length", "span_days", F.array_join("legs", ",").alias("legs"), refs(), "instances", "score"), "score")
 
 
 @query(f"""
 WITH e AS (SELECT * FROM ({CONTACTS}) WHERE source_id <> target_id), b AS ({ENDS.format('ts')}),
-g AS (SELECT node, count(DISTINCT peer) AS peers, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0)::BIGINT AS span_days FROM b GROUP BY 1)
-SELECT node, peers, span_days, round(least(1.0, 0.6::DOUBLE + 0.08::DOUBLE * peers), 6) AS score FROM g WHERE peers >= 45 AND span_days <= 45""")
+g AS (SELECT node, count(DISTINCT peer) AS peers, string_agg(DISTINCT peer, ',' ORDER BY peer) AS refs, floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0)::BIGINT AS span_days FROM b GROUP BY 1)
+SELECT node, refs, node || '|' || replace(refs, ',', '|') AS entity_ids, peers, span_days, round(least(1.0, 0.6::DOUBLE + 0.08::DOUBLE * peers), 6) AS score FROM g WHERE peers >= 45 AND span_days <= 45""")
 def p2_burner_hub(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(detect.burner_hub(domain.contacts(spark, sf_dir), TUNED).select("node", "peers", "span_days", "score"), "score")
+    return r6(detect.burner_hub(domain.contacts(spark, sf_dir), TUNED).select("node", refs(), F.array_join("entity_ids", "|").alias("entity_ids"), "peers", "span_days", "score"), "score")
 
 
 @query("""
-WITH c AS (SELECT 'U' || user_id AS u, epoch_us(ts) AS m FROM events WHERE event_type = 'click'), t AS (SELECT 'U' || user_id AS u, epoch_us(ts) AS m FROM events WHERE event_type = 'purchase'),
-j AS (SELECT c.u, c.m, t.m AS n FROM c ASOF JOIN t ON c.u = t.u AND c.m < t.m), g AS (SELECT u, count(*) AS hits, min(n - m) / 3600000000.0::DOUBLE AS gap FROM j WHERE n - m <= 6 * 3600000000 GROUP BY 1)
-SELECT 'DESK' AS a, u AS b, hits, round(gap, 6) AS least_gap_hours, round(least(1.0, 0.4::DOUBLE + 0.15::DOUBLE * hits), 6) AS score FROM g WHERE hits >= 3""")
+WITH c AS (SELECT 'U' || user_id AS u, epoch_us(ts) AS m, 'E' || lpad(event_id::VARCHAR, 12, '0') AS id FROM events WHERE event_type = 'click'), t AS (SELECT 'U' || user_id AS u, epoch_us(ts) AS m, 'E' || lpad(event_id::VARCHAR, 12, '0') AS id FROM events WHERE event_type = 'purchase'),
+j AS (SELECT c.u, c.m, c.id || ',' || t.id AS pair, t.m AS n FROM c ASOF JOIN t ON c.u = t.u AND c.m < t.m), g AS (SELECT u, count(*) AS hits, string_agg(pair, ',' ORDER BY m, pair) AS refs, min(n - m) / 3600000000.0::DOUBLE AS gap FROM j WHERE n - m <= 6 * 3600000000 GROUP BY 1)
+SELECT 'DESK' AS a, u AS b, refs, hits, round(gap, 6) AS least_gap_hours, round(least(1.0, 0.4::DOUBLE + 0.15::DOUBLE * hits), 6) AS score FROM g WHERE hits >= 3""")
 def p3_call_then_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(detect.call_then_transfer(domain.desk_events(spark, sf_dir), TUNED).select("a", "b", "hits", "least_gap_hours", "score"), "least_gap_hours", "score")
+    return r6(detect.call_then_transfer(domain.desk_events(spark, sf_dir), TUNED).select("a", "b", refs(), "hits", "least_gap_hours", "score"), "least_gap_hours", "score")
 
 
 @query("""
@@ -135,18 +146,28 @@ w AS (SELECT u, i, days, ns, CASE WHEN i = 0 THEN ns[1:1] ELSE ns[1:i] END AS ba
 m AS (SELECT *, list_aggregate(base, 'median')::DOUBLE AS med FROM w), d AS (SELECT *, list_aggregate(list_transform(base, lambda x: abs(x - med)), 'median')::DOUBLE AS mad FROM m),
 x AS (SELECT u, i, base, med, mad, days[j] AS day, ns[j] AS calls FROM (SELECT *, unnest(range(i + 1, i + 8)) AS j FROM d)),
 z AS (SELECT *, CASE WHEN mad = 0 THEN (calls - med) / greatest(1.0, abs(med)) ELSE 0.6745::DOUBLE * (calls - med) / mad END AS z FROM x),
-k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY z DESC, i, day) AS r FROM z WHERE z >= 4.0 AND NOT (len(list_distinct(base)) <= 1 AND calls <= base[1] + 1))
-SELECT 'DESK' AS a, u AS b, day, calls, round(z, 6) AS z, round(calls / CASE WHEN med = 0 THEN 1.0 ELSE med END, 6) AS times, round(least(1.0, 0.5::DOUBLE + 0.05::DOUBLE * z), 6) AS score FROM k WHERE r = 1""")
+k AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY z DESC, i, day) AS r FROM z WHERE z >= 2.0 AND NOT (len(list_distinct(base)) <= 1 AND calls <= base[1] + 1))
+SELECT 'DESK' AS a, u AS b, day, 'DESK|' || u || '|' || strftime(day, '%Y-%m-%d') AS refs, calls, round(z, 6) AS z, round(calls / CASE WHEN med = 0 THEN 1.0 ELSE med END, 6) AS times, round(least(1.0, 0.5::DOUBLE + 0.05::DOUBLE * z), 6) AS score FROM k WHERE r = 1""")
 def p4_comm_burst(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(detect.comm_burst(domain.desk_events(spark, sf_dir)).select("a", "b", "day", "calls", "z", "times", "score"), "z", "times", "score")
+    return r6(detect.comm_burst(domain.desk_events(spark, sf_dir), TUNED).select("a", "b", "day", refs(), "calls", "z", "times", "score"), "z", "times", "score")
 
 
-@query()
+def _scan_sql() -> str:
+    parts = [f"SELECT '{rule}' AS rule_id, node AS entities, refs, score, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS severity FROM ({sql})" for rule, sql in (
+        ("A2_volume_spike", ORACLE_SQL["a2_volume_spike"]), ("A3_counterparty_expansion", _expansion_sql(f"SELECT * FROM ({CONTACTS}) WHERE source_id <> target_id")), ("A4_odd_hour_activity", ORACLE_SQL["a4_odd_hour"]),
+    )]
+    return f"SELECT 'CASE-1:' || rule_id || ':' || substr(sha256(entities), 1, 16) AS id, * FROM ({' UNION ALL '.join(parts)})"
+
+
+@query(_scan_sql())
 def scan_new_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All detectors over one graph, less what is stored already (here: the P2 findings)."""
+    """All detectors over the graph of contacts, less what is stored already (here: the
+    findings of P2). It holds no transfer and few days of any pair, so P1, P3, A1 and, at the
+    default, P4 find nothing in it."""
     e = domain.contacts(spark, sf_dir)
-    found = detect.scan(e, TUNED, ("P2", "A2", "A3", "A4", "P4", "P3"))
-    return r6(detect.new_findings(found, found.where("rule_id = 'P2_burner_hub'")).select("rule_id", F.array_join("entity_ids", "|").alias("entities"), "entity_set_hash", "severity", "score"), "score")
+    found = detect.scan(e, replace(TUNED, burst_z=4.0))
+    fresh = detect.new_findings(found, found.where("rule_id = 'P2_burner_hub'"))
+    return r6(fresh.select("id", "rule_id", F.array_join("entity_ids", "|").alias("entities"), refs(), "severity", "score"), "score")
 
 
 # ---------------------------------------------------------------- graph
@@ -174,20 +195,43 @@ def g2_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(graph.pagerank(v, e, iterations=20, tolerance=None).select("id", "pagerank"), "pagerank")
 
 
-@query()
+DIGRAPH = f"SELECT source_id AS s, target_id AS t, max_by(conf, id) AS w FROM ({TRADE}) GROUP BY 1, 2"
+
+
+def _between_sql(hops: int) -> str:
+    """Ties of shortest paths by whole paths of up to so many hops, which reach every node of
+    this dense graph."""
+    paths = ["SELECT s, t, w, []::VARCHAR[] AS inner_nodes FROM d"]
+    for k in range(2, hops + 1):
+        cols = ", ".join(f"d{i}.t" for i in range(1, k))
+        joins = " ".join(f"JOIN d d{i} ON d{i}.s = d{i - 1}.t" for i in range(2, k + 1))
+        paths.append(f"SELECT d1.s, d{k}.t, {' + '.join(f'd{i}.w' for i in range(1, k + 1))}, [{cols}] FROM d d1 {joins} WHERE d1.s <> d{k}.t")
+    return f"""WITH d AS MATERIALIZED ({DIGRAPH}), v AS MATERIALIZED (SELECT s AS id FROM d UNION SELECT t FROM d), n AS (SELECT count(*)::DOUBLE AS n FROM v),
+p AS MATERIALIZED ({' UNION ALL '.join(paths)}), m AS (SELECT s, t, min(round(w, 9)) AS best FROM p GROUP BY ALL), k AS MATERIALIZED (SELECT p.* FROM p JOIN m USING (s, t) WHERE round(w, 9) = best),
+c AS (SELECT s, t, count(*) AS ways FROM k GROUP BY ALL), x AS (SELECT unnest(inner_nodes) AS id, 1.0::DOUBLE / ways AS part FROM k JOIN c USING (s, t)), y AS (SELECT id, sum(part) AS x FROM x GROUP BY 1)
+SELECT v.id, round(coalesce(x, 0) / ((n - 1) * (n - 2)), 6) AS betweenness FROM v CROSS JOIN n LEFT JOIN y USING (id)"""
+
+
+@query(_between_sql(3))
 def g3_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges.simple_digraph(domain.trade(spark, sf_dir))
     v = e.select("case_id", F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
     return r6(graph.betweenness(v, e).select("id", "betweenness"), "betweenness")
 
 
-@query(f"""
-WITH e AS MATERIALIZED (SELECT DISTINCT source_id, target_id FROM ({TRADE})), c AS (
- SELECT [a.source_id, a.target_id] AS nodes FROM e a JOIN e b ON b.source_id = a.target_id AND b.target_id = a.source_id WHERE a.source_id < a.target_id UNION ALL
- SELECT [a.source_id, a.target_id, b.target_id] FROM e a JOIN e b ON b.source_id = a.target_id JOIN e d ON d.source_id = b.target_id AND d.target_id = a.source_id WHERE a.source_id < a.target_id AND a.source_id < b.target_id AND a.target_id <> b.target_id),
-r AS (SELECT array_to_string(nodes, '|') AS nodes, len(nodes)::INTEGER AS length, row_number() OVER (ORDER BY len(nodes), array_to_string(nodes, '|'))::INTEGER AS place FROM c) SELECT * FROM r WHERE place <= 25""")
+def _loops_sql(longest: int) -> str:
+    parts = []
+    for k in range(2, longest + 1):
+        joins = " ".join(f"JOIN d d{i} ON d{i}.s = d{i - 1}.t AND d{i}.s > d1.s" + "".join(f" AND d{i}.s <> d{j}.s" for j in range(2, i)) + (f" AND d{i}.t = d1.s" if i == k else "") for i in range(2, k + 1))
+        parts.append(f"SELECT [{', '.join(f'd{i}.s' for i in range(1, k + 1))}] AS nodes FROM d d1 {joins}")
+    return f"""WITH d AS MATERIALIZED ({DIGRAPH}), c AS ({' UNION ALL '.join(parts)}),
+r AS (SELECT array_to_string(nodes, '|') AS nodes, len(nodes)::INTEGER AS length, row_number() OVER (ORDER BY len(nodes), array_to_string(nodes, '|'))::INTEGER AS place FROM c) SELECT * FROM r WHERE place <= 25"""
+
+
+@query(_loops_sql(5))
 def g5_money_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.money_cycles(domain.trade(spark, sf_dir), longest=3).select(F.array_join("nodes", "|").alias("nodes"), F.size("nodes").alias("length"), "place")
+    found = graph.money_cycles(domain.trade(spark, sf_dir))
+    return found.select(F.array_join("nodes", "|").alias("nodes"), F.size("nodes").alias("length"), "place")
 
 
 @query(f"""
@@ -198,7 +242,12 @@ def g6_burner_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.burner_clusters(domain.contacts(spark, sf_dir)).select("node", "call_degree", "window_hours")
 
 
-@query()
+@query(f"""
+WITH r AS (SELECT id, round_even(pagerank, 4) AS pagerank FROM ({ORACLE_SQL['g2_pagerank'].replace('round(r, 6)', 'r')})), b AS (SELECT id, round_even(betweenness, 4) AS betweenness FROM ({_between_sql(3).replace(', 6) AS betweenness', ', 12) AS betweenness')})),
+c AS (SELECT id, count(*) AS cycles FROM (SELECT unnest(string_split(nodes, '|')) AS id FROM ({_loops_sql(5)})) GROUP BY 1), n AS (SELECT count(*) AS n FROM r)
+SELECT r.id, pagerank, betweenness, coalesce(cycles, 0) AS cycles, false AS burner_flag,
+ round_even(greatest(5.0::DOUBLE, least(95.0::DOUBLE, 20 + pagerank * n * 40 + betweenness * 20 + 10 * least(coalesce(cycles, 0), 2))), 1) AS computed_base_risk
+FROM r JOIN b USING (id) LEFT JOIN c USING (id) CROSS JOIN n""")
 def g8_entity_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = domain.trade(spark, sf_dir)
     nodes = e.select("case_id", F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
@@ -269,7 +318,21 @@ def e1_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "found", S.loose_phone("found").alias("phone"))
 
 
-@query()
+def _spans_sql() -> str:
+    """Matches with their places: what lies before a match is the pieces between matches and
+    the matches so far. Letters beyond ASCII stand as one of the word characters."""
+    kinds = (("phone", S.PHONE), ("vehicle", S.VEHICLE), ("person", S.NAME))
+    found = " UNION ALL ".join(f"SELECT doc_id, t, '{k}' AS kind, regexp_extract_all(u, '{p}') AS ms, string_split_regex(u, '{p}') AS ss FROM d" for k, p in kinds)
+    return f"""WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g') AS u FROM documents), p AS ({found}),
+x AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM p),
+y AS (SELECT doc_id, t, kind, length(ms[i]) AS n, (list_sum(list_transform(ss[1:i], lambda s: length(s))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda s: length(s))), 0))::INTEGER AS a FROM x),
+z AS (SELECT doc_id, kind, substr(t, a + 1, n) AS text, a, (a + n)::INTEGER AS b, regexp_replace(substr(t, a + 1, n), '[^0-9]', '', 'g') AS g FROM y),
+w AS (SELECT *, CASE WHEN length(g) = 12 AND g LIKE '91%' THEN substr(g, 3) WHEN length(g) = 11 AND g LIKE '0%' THEN substr(g, 2) ELSE g END AS h FROM z)
+SELECT doc_id, kind AS entity_type, text, a AS span_start, b AS span_end, CASE kind WHEN 'phone' THEN 0.98 WHEN 'vehicle' THEN 0.97 ELSE 0.55 END::DOUBLE AS confidence
+FROM w WHERE kind <> 'phone' OR length(h) = 10 AND h[1] IN ('6', '7', '8', '9')"""
+
+
+@query(_spans_sql())
 def e4_extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.extract import extract
 
@@ -308,14 +371,6 @@ def sk1_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.upsert(e.limit(0), e, ["user_id", "event_type"], order="at").select("user_id", "event_type", "event_id", "value")
 
 
-@query("""
-WITH b AS (SELECT customer.*, 'nm:' || lower(replace(c_name, '.', ' ')) AS k FROM customer) SELECT n_name, c_mktsegment, count(*) AS people, count(DISTINCT k) AS names FROM b JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
-def r6_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name blocks of the resolution by nation and segment."""
-    c = domain.table(spark, sf_dir, "customer").join(domain.table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    return c.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("people"), F.count_distinct(S.normalize_name("c_name")).alias("names"))
-
-
 @query("""
 SELECT event_id, json_extract_string(props, '$.k')::DOUBLE AS amount, ts AS event_ts, event_type LIKE '%view%' AS viewed FROM events""")
 def f4_event_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
