@@ -145,12 +145,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
         return scratch.save(block_rows(df.where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v")), rows, scale), name)
 
     shards, asked = blocks(vectors, block_size, "shards"), blocks(queries, query_rows, "queries")
-    # Shards are numbered without gaps by their order; the table of numbers has a row a shard.
-    numbers = sorted(r[0] for r in shards.select("block").collect())
-    count = len(numbers)
+    # Shards are numbered without gaps, partition by partition; the driver sees a count of each.
+    part, place = F.shiftright("block", 32), F.col("block").bitwiseAND((1 << 32) - 1)
+    counts = sorted(shards.select("block").groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    count = sum(n for _, n in counts)
     if not count:
         return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
-    numbered = vectors.sparkSession.createDataFrame(list(zip(numbers, range(count), strict=True)), "block long, shard long").join(shards, "block").select("shard", F.struct("ids", "cells", "dims", "big").alias("c"))
+    before = [(p, sum(n for _, n in counts[:k])) for k, (p, _) in enumerate(counts)]
+    offsets = vectors.sparkSession.createDataFrame(before, "part long, before long")
+    numbered = shards.withColumn("part", part).join(offsets, "part").select((F.col("before") + place).alias("shard"), F.struct("ids", "cells", "dims", "big").alias("c"))
     sent = asked.select(F.col("block").alias("query_block"), F.struct("ids", "cells", "dims", "big").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("shard"))
 
     def tiles(batches: Iterator) -> Iterator:
