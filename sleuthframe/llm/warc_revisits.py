@@ -8,10 +8,11 @@ stored ones.
 
 The as-of join copes with a URL that holds a third of all records: records are dealt by URL
 and slice of time, each slice looks back within itself, and what it has not seen comes from
-the last response of the slices before, of which a URL has ``slices`` at most.
+the last response of the slices before, of which a URL has ``slices`` at most. Slices hold
+about equally many records, so a burst is cut into many.
 
-Defined cases: null or empty URLs match one another only by being equal after coalescing to
-'' and are resolved like any; null times sort first; records of one time follow one another by
+Defined cases: null or empty URLs tell no resource, so their revisits have no response; null
+times sort first; records of one time follow one another by
 record id, so a response is earlier only if its (time, id) is; repeated rows are each resolved;
 a validator that one side lacks is not compared, and a revisit with no validator in common
 with the response is unresolved ('no_validator'); an empty table gives no rows; other columns
@@ -19,6 +20,8 @@ of the input are not read."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,9 +59,11 @@ def resolve_revisits(records: DataFrame, slices: int = 64) -> DataFrame:
     record_id, canonical, fetched, status (resolved, mismatch, no_validator, no_response),
     response_id, response_fetched, headers (merged), digest, length of the response."""
     rows = records.select("record_id", "kind", canonical_url(F.col("url")).alias("canonical"), F.col("fetched").cast("double").alias("at"), "fetched", "headers", "digest", "length")
-    low, high = rows.agg(F.min("at"), F.max("at")).first()
-    width = ((high or 0) - (low or 0)) / slices or 1.0
-    rows = rows.withColumn("slice", F.coalesce(F.least(F.floor((F.col("at") - F.lit(low or 0.0)) / F.lit(width)), F.lit(slices - 1)), F.lit(-1)).cast("int"))
+    unknown = rows.where("canonical = '' and kind = 'revisit'")
+    rows = rows.where("canonical <> ''")
+    cuts = sorted(set(rows.where("at is not null").approxQuantile("at", [k / slices for k in range(1, slices)], 0.25 / slices)))
+    past = [F.when(F.col("at") >= c, 1).otherwise(0) for c in cuts]
+    rows = rows.withColumn("slice", F.when(F.col("at").isNull(), -1).otherwise(functools.reduce(lambda x, y: x + y, past, F.lit(0))))
     rows = rows.withColumn("place", F.struct(F.coalesce("at", F.lit(float("-inf"))).alias("at"), F.col("record_id").alias("id")))
     response = F.when(F.col("kind") == "response", F.struct("record_id", "fetched", "headers", "digest", "length"))
     rows = rows.withColumn("response", response)
@@ -76,12 +81,14 @@ def resolve_revisits(records: DataFrame, slices: int = 64) -> DataFrame:
     differ = (both(etag) & (etag[0] != etag[1])) | (both(since) & (since[0] != since[1]))
     status = F.when(F.col("r").isNull(), "no_response").when(~(both(etag) | both(since)), "no_validator").when(differ, "mismatch").otherwise("resolved")
     good = F.col("status") == "resolved"
-    return found.withColumn("status", status).select(
+    none = unknown.select("record_id", "canonical", "fetched", F.lit("no_response").alias("status"))
+    found = found.withColumn("status", status).select(
         "record_id", "canonical", "fetched", "status",
         F.when(good, F.col("r.record_id")).alias("response_id"), F.when(good, F.col("r.fetched")).alias("response_fetched"),
         F.when(good, merged_headers(F.col("r.headers"), F.col("headers"))).alias("headers"),
         F.when(good, F.col("r.digest")).alias("digest"), F.when(good, F.col("r.length")).alias("length"),
     )
+    return found.unionByName(none, allowMissingColumns=True)
 
 
 def crawl_records(pages: DataFrame) -> DataFrame:
@@ -113,7 +120,7 @@ w AS (SELECT *, regexp_replace(regexp_replace(translate(regexp_extract(rest, '^[
   list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{TRACKING}'))) AS kept FROM v),
 c AS MATERIALIZED (SELECT page_id, digest, length, t, host || path || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS canonical, '"' || substr(digest, 1, 16) || '"' AS etag FROM w),
 q AS (SELECT *, t + 4 * (20 + page_id % 400) + 2 AS f FROM c),
-j AS (SELECT q.page_id, q.canonical, q.f, q.etag AS e, r.page_id AS rid, r.t AS rt, r.digest, r.length, r.etag AS re FROM q ASOF LEFT JOIN c r ON q.canonical = r.canonical AND q.f >= r.t),
+j AS (SELECT q.page_id, q.canonical, q.f, q.etag AS e, r.page_id AS rid, r.t AS rt, r.digest, r.length, r.etag AS re FROM q ASOF LEFT JOIN (SELECT * FROM c WHERE canonical <> '') r ON q.canonical = r.canonical AND q.f >= r.t),
 k AS (SELECT *, CASE WHEN rid IS NULL THEN 'no_response' WHEN e <> re THEN 'mismatch' ELSE 'resolved' END AS status FROM j)
 SELECT page_id * 2 + 1 AS record_id, canonical, f AS fetched, status,
   CASE WHEN status = 'resolved' THEN rid * 2 END AS response_id, CASE WHEN status = 'resolved' THEN rt END AS response_fetched,
