@@ -325,6 +325,7 @@ def link_texts(docs: DataFrame, id_col: str, text_col: str, words: int, threshol
 
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch, "groups")
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fp")
+    groups = scratch.save(groups, "grouped")
     counts = links.groupBy(F.col("node").alias("fp")).agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     linked = scratch.save(texts.select("fp", "copies", "least").join(counts, "fp").join(groups, "fp"), "linked")
     first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
@@ -334,7 +335,7 @@ def link_texts(docs: DataFrame, id_col: str, text_col: str, words: int, threshol
     none = F.col("class_fp").isNull()
     nodes = nodes.select("fp", "copies", "least", F.when(none, F.col("least")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", "copies").alias("class_size"), F.coalesce("class_fp", "fp").alias("class_fp"), (F.col("copies") - 1 + F.coalesce("documents", F.lit(0))).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
     nodes = scratch.save(nodes, "nodes")
-    scratch.drop("texts", "stars", "held", "chosen", "sizes", "candidates", "links", "linked", "classes")
+    scratch.drop("texts", "stars", "held", "chosen", "sizes", "candidates", "links", "grouped", "linked", "classes")
     return rows, nodes
 
 
