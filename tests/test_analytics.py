@@ -66,7 +66,7 @@ def test_expansion_and_hours(spark):
 
 def test_findings_store(spark):
     e = make(spark, [("H", f"P{k}", "CALLED", at(4 * k), None) for k in range(5)])
-    found = detect.scan(e)
+    found = spark.createDataFrame(detect.scan(e).collect(), detect.scan(e).schema)
     assert found.count() == 1 and detect.new_findings(found, found).count() == 0
     rows = found.withColumn("id", F.lit("f1"))
     assert detect.set_status(rows, spark.createDataFrame([("f1", "dismissed")], "id string, status string")).first().status == "dismissed"
