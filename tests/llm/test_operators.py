@@ -353,6 +353,7 @@ def test_html_against_a_slow_version():
     r = random.Random(12)
     for _ in range(150):
         paras = [sentence(r, r.choice([1, 3, 20, 60])).replace("e", r.choice(["e", "&eacute;", "<b>e</b>", "e<br>"])) for _ in range(r.randrange(1, 12))]
+        paras.insert(r.randrange(len(paras) + 1), sentence(r, 60))  # else the advert is most of the page
         inner = "".join(f"<p>{p}</p>" if r.random() < 0.8 else f"<ul><li>{p}</li></ul>" for p in paras)
         tag = r.choice(["article", "div"])
         junk = f"<nav><ul><li><a href=/>Home</a></li></ul></nav><script>var x='<p>';</script><div class=\"ad\">{sentence(r, 9)}</div>"
@@ -588,3 +589,31 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in p.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert json.dumps([k for k, _ in p.STAGES])
+
+
+def test_media_query_columns(spark):
+    """Every digest of the query against a recomputation from the documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in media.op9_media_columns(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(docs)
+    same = {}
+    for d in docs:
+        raw = (d.text or "").encode()
+        full = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        r = got[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        assert same.setdefault(raw, (r.media_bytes, r.media_sha256, r.feature)) == (r.media_bytes, r.media_sha256, r.feature)
+
+
+def test_quality_scores_one_by_one():
+    """Scores of a batch against each text's own dot product."""
+    r = random.Random(6)
+    texts = [sentence(r, r.randrange(1, 60)) for _ in range(60)] + ["", "a", "a a a a", "ÄÖ! x?? 12"]
+    rows = [quality.indicators(t) for t in texts]
+    model = quality.fit(rows[:60], np.array([k % 2 for k in range(60)]))
+    slope, shift = model["curve"]
+    for got, row in zip(quality.scores(texts, model), rows, strict=True):
+        weighted = dict(zip(row.tolist(), quality.scaled(row, model["scale"]).tolist(), strict=True))
+        margin = sum(float(model["weights"][f]) * v for f, v in weighted.items()) + model["bias"]
+        assert got == pytest.approx(1 / (1 + math.exp(-(slope * margin + shift))), rel=1e-5)
+    assert len(quality.scores([], model)) == 0
