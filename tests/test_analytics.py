@@ -168,6 +168,25 @@ def test_resolve_case(spark):
     assert got["entities"].where("name = 'Amit Verma'").count() == 1 and got["sources"].count() == 1
 
 
+def test_resolution_query_by_brute_force(spark):
+    """Every two of the table's people, against the query's pairs."""
+    from sleuthframe.functions.similarity import tokens
+    from sleuthframe.plans import cases
+
+    folder = "/root/testdata/sf0.001"
+    people = sorted((r.id, r.name, r.phone_numbers[0][-10:].replace(" ", "")) for r in cases.resolvable(spark, folder).collect())
+    want = {}
+    for i, (a, x, p) in enumerate(people):
+        for b, y, q in people[i + 1 :]:
+            sim, phone = name_similarity(x, y), p == q
+            if phone:
+                want[a, b] = "auto_r1" if sim >= 85 else "review_r3" if sim >= 60 else "separate_r4"
+            elif sim >= 95 and {w for w in tokens(x) if len(w) > 1} & {w for w in tokens(y) if len(w) > 1}:
+                want[a, b] = "review_r5"
+    got = {(r.a, r.b): r.rule for r in cases.r6_resolve_case(spark, folder).collect()}
+    assert got == want and set(want.values()) >= {"auto_r1", "separate_r4", "review_r5"}
+
+
 def seeded(spark):
     day = lambda m, d, h=10: dt.datetime(2023, m, d, h)
     rows = [("P1-A", "P1-B", "TRANSFER", day(7, 5), 250000.0), ("P1-B", "P1-C", "TRANSFER", day(7, 10, 11), 245000.0), ("P1-C", "P1-A", "TRANSFER", day(7, 15, 12), 248000.0)]
