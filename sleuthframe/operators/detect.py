@@ -110,11 +110,27 @@ def comm_burst(edges: DataFrame, cfg: Detection = Detection()) -> DataFrame:
     return _finding(best, "P4_comm_burst", F.array("a", "b"), text, evidence, 0.5 + 0.05 * F.col("z"), "a", "b", "day", "calls", "z", "times")
 
 
+def _counted(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """(keys, value, times): how often each key has a value."""
+    return df.groupBy(*keys, value.cast("double").alias("value")).agg(F.count("*").alias("times"))
+
+
+def _middle(counts: DataFrame, keys: list[str], median: str, n: str) -> DataFrame:
+    """Median of each key and the number of its values, from running counts. A key's distinct
+    values are sorted, which spills; none are gathered in an aggregate's memory."""
+    by = W.partitionBy(*keys)
+    upto = F.sum("times").over(by.orderBy("value").rowsBetween(W.unboundedPreceding, 0))
+    ranked = counts.withColumns({"upto": upto, "total": F.sum("times").over(by)})
+    at = lambda k: F.min(F.when(F.col("upto") >= F.floor((F.col("total") + k) / 2), F.col("value")))
+    return ranked.groupBy(*keys).agg(((at(1) + at(2)) / 2).alias(median), F.max("total").alias(n))
+
+
 def _spread(df: DataFrame, keys: list[str], value: str, prefix: str) -> DataFrame:
-    """Median and MAD of each key in two passes; partial aggregation precedes each shuffle."""
-    middle = df.groupBy(*keys).agg(F.median(value).alias(f"{prefix}_median"), F.count("*").alias(f"{prefix}_n"))
-    off = df.join(middle, keys).groupBy(*keys).agg(F.median(F.abs(F.col(value) - F.col(f"{prefix}_median"))).alias(f"{prefix}_mad"))
-    return middle.join(off, keys)
+    """Median and MAD of each key; the rows are read once, into counts of values."""
+    counts = _counted(df, keys, F.col(value))
+    middle = _middle(counts, keys, f"{prefix}_median", f"{prefix}_n")
+    off = counts.join(middle, keys).select(*keys, F.abs(F.col("value") - F.col(f"{prefix}_median")).alias("value"), "times")
+    return middle.join(_middle(off, keys, f"{prefix}_mad", "off_n").drop("off_n"), keys)
 
 
 def _baseline(df: DataFrame, spread: DataFrame, whole: DataFrame, cfg: Detection) -> DataFrame:
@@ -157,7 +173,8 @@ def counterparty_expansion(edges: DataFrame, cfg: Detection = Detection()) -> Da
     last = seen.groupBy("case_id", "node").agg(F.max("t").alias("latest"), F.min("t").alias("earliest"), F.count("*").alias("dated"))
     cut = F.expr(f"latest - interval {cfg.expand_days} days")
     weekly = lambda n, days: n / F.greatest(F.lit(1.0), F.when(days == 0, 1).otherwise(days) / 7.0)
-    case = last.where("dated >= 2").groupBy("case_id").agg(F.median(weekly(F.col("dated"), floor_days("earliest", "latest"))).alias("case_rate"))
+    rates = _counted(last.where("dated >= 2"), ["case_id"], weekly(F.col("dated"), floor_days("earliest", "latest")))
+    case = _middle(rates, ["case_id"], "case_rate", "case_n").drop("case_n")
     g = seen.join(last.withColumn("cut", cut), ["case_id", "node"]).groupBy("case_id", "node", "cut", "earliest").agg(F.count_if(F.col("t") >= F.col("cut")).alias("fresh"), F.count_if(F.col("t") < F.col("cut")).alias("before"))
     g = g.join(case, "case_id", "left").where(F.col("fresh") >= cfg.expand_new)
     own = weekly(F.col("before"), floor_days("earliest", "cut"))

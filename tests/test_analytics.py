@@ -379,3 +379,20 @@ def test_entry_and_queries(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 25
     assert e.entry(spark).count() > 0
+
+
+def test_spread_equals_exact_medians(spark):
+    """Even and odd counts, ties, one value, negative values, two keys; an empty table."""
+    from statistics import median
+
+    groups = {"odd": [5, 1, 1, 9, -4], "even": [2, 2, 3, 10], "tied": [7] * 6, "one": [3], "halves": [0.5, 1.25, 1.25, 8.0]}
+    rows = [(k, i % 2, float(v)) for k, vs in groups.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "k string, part int, v double")
+    for keys in (["k"], ["k", "part"]):
+        want = {}
+        for k, part, v in rows:
+            want.setdefault((k, part)[: len(keys)], []).append(v)
+        want = {k: (median(vs), median(abs(v - median(vs)) for v in vs), len(vs)) for k, vs in want.items()}
+        got = {tuple(r[c] for c in keys): (r.own_median, r.own_mad, r.own_n) for r in detect._spread(df, keys, "v", "own").collect()}
+        assert got == want
+    assert detect._spread(df.limit(0), ["k"], "v", "own").collect() == []
