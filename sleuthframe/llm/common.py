@@ -68,6 +68,22 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(next(spare)) for b in range(256)}
 
 
+class _Words(dict):
+    """Ids by word. A word not held comes from the generation before, or is learnt."""
+
+    __slots__ = ("learn", "before")
+
+    def __init__(self, learn, before: dict[str, bytes]):
+        self.learn, self.before = learn, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            ids = self.learn(word)
+        self[word] = ids
+        return ids
+
+
 class CachedEncoder:
     """Encodes whole texts with the tokenizers library through a bounded cache of words.
 
@@ -77,20 +93,25 @@ class CachedEncoder:
     punctuation, go to the library's model straight away, any other chunk through the whole
     library. A text is lower-cased beforehand unless it holds a letter whose lower case
     depends on its place, or grows. Texts with the separators 0x1C-0x1F, which only Python
-    counts as white space, go to the library whole."""
+    counts as white space, go to the library whole.
 
-    def __init__(self, path: str, most: int = 200_000):
+    The cache has two generations of ``most`` words, and what a text adds: a full one becomes
+    the generation before, whose words come back as they are met, so common words stay."""
+
+    def __init__(self, path: str, most: int = 300_000):
         import re
+        import unicodedata
 
         self.tokenizer, self.most = _tokenizer(path), most
         self.model, self.spell = self.tokenizer.model, _byte_chars()
-        self.known: dict[str, bytes] = {}
+        self.known = _Words(self._learn, {})
         self.odd = re.compile("[\x1c-\x1f]")
+        self.is_normalized = unicodedata.is_normalized
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def _library(self, text: str) -> bytes:
         import numpy as np
 
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
 
     def _letters(self, word: str) -> bytes:
         import array
@@ -98,42 +119,25 @@ class CachedEncoder:
         spelled = "".join(map(self.spell.__getitem__, word.encode()))
         return array.array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
-    def _learn(self, words) -> None:
-        import unicodedata
-
-        known, rest = self.known, []
-        for w in words:
-            body = w.rstrip(TAIL)
-            if body.isalpha() and unicodedata.is_normalized("NFC", body) and body.lower() == body and "\u03c3" not in body:
-                if body not in known:
-                    known[body] = self._letters(body)
-                tail = w[len(body) :]
-                if tail:
-                    if tail not in known:
-                        known[tail] = self._library([tail])[0]
-                    known[w] = known[body] + known[tail]
-            else:
-                rest.append(w)
-        for i in range(0, len(rest), 8192):
-            known.update(zip(rest[i : i + 8192], self._library(rest[i : i + 8192]), strict=True))
+    def _learn(self, word: str) -> bytes:
+        body = word.rstrip(TAIL)
+        if not (body.isalpha() and self.is_normalized("NFC", body) and body.lower() == body and "\u03c3" not in body):
+            return self._library(word)
+        tail = word[len(body) :]
+        return self.known[body] + self.known[tail] if tail else self._letters(body)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.most:
-            self.known = {}
-        cut = []
+        out = []
         for t in texts:
             if self.odd.search(t):
-                cut.append(None)
-            else:
-                low = t.lower()
-                cut.append((t if len(low) != len(t) or "\u03a3" in t or "<|" in t else low).split())
-        known = self.known
-        new = set()
-        for words in cut:
-            if words:
-                new.update(words)
-        self._learn(w for w in new if w not in known)
-        return [b"".join(map(known.__getitem__, words)) if words is not None else self._library([t])[0] for t, words in zip(texts, cut, strict=True)]
+                out.append(self._library(t))
+                continue
+            if len(self.known) > self.most:
+                self.known = _Words(self._learn, dict(self.known))
+            low = t.lower()
+            words = (t if len(low) != len(t) or "\u03a3" in t or "<|" in t else low).split()
+            out.append(b"".join(map(self.known.__getitem__, words)))
+        return out
 
 
 @functools.lru_cache(maxsize=2)

@@ -42,6 +42,22 @@ def test_cache_is_bounded():
     assert len(e.known) <= 12
 
 
+def test_cache_keeps_common_words():
+    e = CachedEncoder(default_tokenizer(), most=10)
+    learnt, learn = [], e._learn
+    e._learn = lambda w: (learnt.append(w), learn(w))[1]
+    e.known = type(e.known)(e._learn, {})
+    texts = [f"common word{k} and{k}. Ünï{k} more, things." for k in range(30)]
+    assert e.encode(texts) == [x[:-4] for x in library(texts, 0)]
+    assert learnt.count("common") == 1 and len(e.known) <= 20 and len(e.known.before) <= 20
+
+
+def test_cache_with_repeated_texts():
+    e = CachedEncoder(default_tokenizer(), most=2)
+    texts = ["", " ", "a", "a, a", "...", "don't stop!! <|endoftext|>x", "x" * 50_000, "\x1cz"] * 3
+    assert e.encode(texts) == [x[:-4] for x in library(texts, 0)]
+
+
 def check_pieces(rows, want):
     """Each id in one piece, sequences gapless, padded only at a power of two."""
     by_seq, got = {}, {}
