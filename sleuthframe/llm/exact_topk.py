@@ -153,7 +153,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
         return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
     before = [(p, sum(n for _, n in counts[:k])) for k, (p, _) in enumerate(counts)]
     offsets = vectors.sparkSession.createDataFrame(before, "part long, before long")
-    numbered = shards.withColumn("part", part).join(offsets, "part").select((F.col("before") + place).alias("shard"), F.struct("ids", "cells", "dims", "big").alias("c"))
+    # The planner takes a table's size from its compressed file, and an exploded one's from before
+    # the explosion: blocks are joined by merging alone, so that no driver collects them.
+    numbered = shards.withColumn("part", part).join(F.broadcast(offsets), "part").select((F.col("before") + place).alias("shard"), F.struct("ids", "cells", "dims", "big").alias("c"))
     sent = asked.select(F.col("block").alias("query_block"), F.struct("ids", "cells", "dims", "big").alias("q"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("shard"))
 
     def tiles(batches: Iterator) -> Iterator:
@@ -177,7 +179,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
         return pa.Table.from_pylist([dict(zip(("query_block", "part", "n", "s", "i"), (rows[0]["query_block"], rows[0]["part"] // FAN, *merge_lists([(r["n"], r["s"], r["i"]) for r in rows], k)), strict=True))], schema=schema())
 
     kind = "query_block long, part long, n binary, s binary, i binary"
-    tops = sent.join(numbered, "shard").select("query_block", "shard", "q", "c").mapInArrow(tiles, kind)
+    tops = sent.hint("merge").join(numbered.hint("merge"), "shard").select("query_block", "shard", "q", "c").mapInArrow(tiles, kind)
     for _ in range(max(1, math.ceil(math.log(count, FAN) - 1e-9))):
         tops = tops.withColumn("up", F.floor(F.col("part") / FAN)).groupBy("query_block", "up").applyInArrow(lambda t: merged(t.drop_columns(["up"])), kind)
 
@@ -191,7 +193,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: float = 64
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(rank.astype("i4")), pa.array(np.frombuffer(r["i"], "<i8")), pa.array(np.frombuffer(r["s"], "<i8"))], names=["query_id", "rank", id_col, "score"])
 
     named = asked.select(F.col("block").alias("query_block"), F.col("ids").alias("q"))
-    return tops.join(named, "query_block").select("q", "n", "s", "i").mapInArrow(unpacked, f"query_id long, rank int, {id_col} long, score long")
+    return tops.join(named.hint("merge"), "query_block").select("q", "n", "s", "i").mapInArrow(unpacked, f"query_id long, rank int, {id_col} long, score long")
 
 
 def op7_exact_topk(spark, sf_dir: str) -> DataFrame:

@@ -516,6 +516,21 @@ def test_top_k(spark):
     assert [(r.vec_id, r.rank) for r in sorted(exact_topk.top_k(big, big.where("vec_id = 0")).collect(), key=lambda r: r.rank)] == [(2, 1), (1, 2)]
 
 
+def test_top_k_broadcasts_no_block(spark):
+    """Blocks look small to the planner, as their files are compressed and read before each is sent to all others."""
+    df = spark.range(300).selectExpr("id AS vec_id", "array(1D, id / 300D) AS embedding")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        got = exact_topk.top_k(df, df.where("vec_id % 20 = 0"), k=3, query_rows=4, block_size=32)
+        assert got.count() == 45
+        got.collect()
+        plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 2
+
+
 # ---------------------------------------------------------------- media
 
 
