@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import Resolution
 from ..functions import scalars as S
-from ..functions.similarity import similarity
+from ..functions.similarity import signs, similarity
 from ..scratch import Scratch, components
 from . import state
 
@@ -32,15 +32,42 @@ def block_keys(people: DataFrame, aliases: bool = False) -> DataFrame:
     return people.select("case_id", "id", F.explode(F.array_distinct(F.array_compact(F.concat(phones, cars, names)))).alias("key"))
 
 
-def candidate_pairs(people: DataFrame, aliases: bool = False, chunk: int = 500) -> DataFrame:
-    """Pairs that share a block, each once. A block of more than ``chunk`` members is dealt
+def _met(left: DataFrame, keys: DataFrame, chunk: int, where: str) -> DataFrame:
+    """Pairs of members of the same block, each once. A block of more than ``chunk`` members is dealt
     into chunks and met chunk by chunk, so no task holds a common name's whole block."""
+    size = keys.groupBy("case_id", "key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("c")).where(F.col("c") >= 1)
+    one = left.join(size.hint("merge"), ["case_id", "key"]).select("case_id", "key", F.col("id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
+    two = keys.join(size.hint("merge"), ["case_id", "key"]).select("case_id", "key", F.col("id").alias("b"), F.pmod(F.xxhash64("id"), F.col("c")).cast("int").alias("other"))
+    return one.join(two.hint("merge"), ["case_id", "key", "other"]).where(where).select("case_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def candidate_pairs(people: DataFrame, aliases: bool = False, chunk: int = 500) -> DataFrame:
+    """Pairs that share a block, each once."""
     keys = block_keys(people, aliases)
-    size = keys.groupBy("case_id", "key").agg(F.ceil(F.count("*") / chunk).cast("int").alias("c")) .where(F.col("c") >= 1)
-    keys = keys.join(size, ["case_id", "key"]).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("c")).cast("int"))
-    left = keys.select("case_id", "key", F.col("id").alias("a"), "mine", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other"))
-    right = keys.select("case_id", "key", F.col("id").alias("b"), F.col("mine").alias("other"))
-    return left.join(right, ["case_id", "key", "other"]).where("a < b").select("case_id", "a", "b").distinct()
+    return _met(keys, keys, chunk, "a < b")
+
+
+def likely_pairs(people: DataFrame, cfg: Resolution = Resolution(), chunk: int = 500, common: int = 50) -> DataFrame:
+    """The candidate pairs without those that fall under no rule because they share nothing but
+    words of more than ``common`` people each: of these only pairs whose names can be alike by
+    ``cfg.name_only`` are met (``similarity.signs``). No pair with a rule is lost."""
+    if cfg.name_only <= 90:  # An initial may then be enough.
+        return candidate_pairs(people, chunk=chunk)
+    scratch = Scratch(people.sparkSession, "blocks")
+    keys = scratch.save(block_keys(people), "keys")
+    hot = scratch.save(keys.where("key like 'nm:%'").groupBy("case_id", "key").agg(F.count("*").alias("n")).where(F.col("n") > common).select("case_id", "key"), "hot")
+    rare, often = keys.join(hot, ["case_id", "key"], "left_anti"), keys.join(hot, ["case_id", "key"])
+    own = often.groupBy("case_id", "id").agg(F.collect_set(F.substr("key", F.lit(4))).alias("hot"))
+    named = people.select("case_id", "id", "name", S.name_tokens("name").alias("words")).where(F.size("words") >= 2).join(own.hint("merge"), ["case_id", "id"])
+    marks = scratch.save(named.mapInArrow(signs(cfg.name_only / 100), "case_id string, id string, kind string, key string, cut int, most int, size int"), "signs")
+    ordered = lambda df: df.where("a <> b").select("case_id", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    side = lambda kind, s: marks.where(F.col("kind") == kind).select("case_id", "key", F.col("id").alias(s), F.col("cut").alias(f"cut_{s}"), F.col("size").alias(f"size_{s}"), "most")
+    within = ordered(side("core", "a").drop("most").join(side("part", "b").drop("most").hint("merge"), ["case_id", "key"]))
+    # A form cut so often meets those forms only that were cut no more often than is left.
+    one = side("rest", "a").withColumn("cut_b", F.explode(F.sequence(F.lit(0), F.col("most") - F.col("cut_a")))).drop("most")
+    near = ordered(one.join(side("rest", "b").drop("most").hint("merge"), ["case_id", "key", "cut_b"]).where(F.col("cut_a") + F.col("cut_b") <= (F.col("size_a") + F.col("size_b")) * (1 - cfg.name_only / 100) + 1e-6))
+    wide = often.join(marks.where("kind = 'wide'").select("case_id", "id").distinct(), ["case_id", "id"], "left_semi")
+    return _met(rare, rare, chunk, "a < b").unionByName(within).unionByName(near).unionByName(_met(wide, often, chunk, "a <> b")).distinct()
 
 
 def with_vehicles(people: DataFrame) -> DataFrame:
@@ -48,10 +75,11 @@ def with_vehicles(people: DataFrame) -> DataFrame:
 
 
 def classify_pairs(people: DataFrame, cfg: Resolution = Resolution()) -> DataFrame:
-    """Every candidate pair of a case with its similarity and rule."""
+    """Every likely pair of a case with its similarity and rule: all that have a rule are among them."""
     people = with_vehicles(people.where(F.upper("entity_type") == "PERSON"))
     side = lambda s: people.select("case_id", F.col("id").alias(s), F.col("name").alias(f"name_{s}"), F.array_remove(F.transform("phone_numbers", S.normalize_phone), "").alias(f"ph_{s}"), F.transform("vehicles", S.normalize_vehicle).alias(f"ve_{s}"))
-    pairs = candidate_pairs(people).join(side("a"), ["case_id", "a"]).join(side("b"), ["case_id", "b"])
+    # The planner takes people and marks for as small as their compressed files: merged, not broadcast.
+    pairs = likely_pairs(people, cfg).join(side("a").hint("merge"), ["case_id", "a"]).join(side("b").hint("merge"), ["case_id", "b"])
     pairs = pairs.withColumn("sim", similarity("name_a", "name_b"))
     rule = classify(F.arrays_overlap("ph_a", "ph_b"), F.arrays_overlap("ve_a", "ve_b"), F.col("sim"), F.size(S.name_tokens("name_a")), F.size(S.name_tokens("name_b")), cfg)
     return pairs.select("case_id", "a", "b", "sim", rule.alias("rule"), F.array_intersect("ph_a", "ph_b").alias("phones"))

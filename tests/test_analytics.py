@@ -187,6 +187,63 @@ def test_resolution_query_by_brute_force(spark):
     assert got == want and set(want.values()) >= {"auto_r1", "separate_r4", "review_r5"}
 
 
+def test_signs_lose_no_alike_names():
+    """Names of few, often shared words, edited: every two that reach 95 agree in a sign."""
+    import random
+
+    from sleuthframe.functions.similarity import name_signs, tokens
+
+    rng = random.Random(5)
+    words = ["mohan", "kumar", "k", "lal", "singh", "zed", "christopher", "g", "li", "montgomery"]
+
+    def name():
+        out = [rng.choice(words) if rng.random() < 0.8 else "quux" + "".join(rng.choices("12", k=rng.randint(1, 4))) for _ in range(rng.randint(1, 4))]
+        k = rng.randrange(len(out))
+        if rng.random() < 0.4:
+            at = rng.randrange(len(out[k]) + 1)
+            out[k] = out[k][:at] + rng.choice("ab1") + out[k][at:] if rng.random() < 0.5 else out[k][:at] + out[k][at + 1 :] or "x"
+        return " ".join(out)
+
+    names = [name() for _ in range(700)]
+    long = lambda n: {w for w in tokens(n) if len(w) > 1}
+    signs = [name_signs(n, set(tokens(n)), long(n), 0.95) for n in names]
+    of = [{k: {(key, cut, size) for kind, key, cut, _, size in s if kind == k} for k in ("wide", "core", "part", "rest")} for s in signs]
+    hits = 0
+    for i, a in enumerate(names):
+        for j in range(i):
+            b = names[j]
+            if not long(a) & long(b) or name_similarity(a, b) < 95:
+                continue
+            hits += 1
+            keys = lambda n, k: {x[0] for x in of[n][k]}
+            rest = any(k == q and c + d <= (s + z) * 0.05 + 1e-6 for k, c, s in of[i]["rest"] for q, d, z in of[j]["rest"]) if keys(i, "rest") & keys(j, "rest") else False
+            assert of[i]["wide"] or of[j]["wide"] or keys(i, "core") & keys(j, "part") or keys(i, "part") & keys(j, "core") or rest, (a, b)
+    assert hits > 1000
+
+
+def test_likely_pairs(spark):
+    """A word of many people brings no pair by itself, and every pair that has a rule is there."""
+    import random
+
+    rng = random.Random(6)
+    names = [f"Zed Quux{k}" for k in range(150)] + ["Zed Quux12", "Zed. Quux 12", "Z. Zed", "Dr Zed Quux7"] + [f"Zed Wilhelmina Anastasia Montgomery{k}" for k in range(20)]
+    names += [" ".join(rng.choices(["Ram", "Lal", "Rama", "K.", "Kumar", "Kumarr", "Zed", "Mohan\u00a0Das"], k=rng.randint(1, 4))) for _ in range(80)]
+    rows = [("C", f"N{k:03d}", n, [], [f"98765{k // 3 if k % 7 == 0 else k:05d}"], "PERSON", 1.0) for k, n in enumerate(names)]
+    people = spark.createDataFrame(rows, "case_id string, id string, name string, aliases array<string>, phone_numbers array<string>, entity_type string, base_risk_score double")
+    every = resolve.candidate_pairs(resolve.with_vehicles(people))
+    text = {r[1]: r[2] for r in rows}
+    phone = {r[1]: r[4][0] for r in rows}
+    met = {(r.a, r.b) for r in every.collect()}
+    size = lambda n: len([w for w in n.lower().replace(".", " ").split(" ") if w and w != "dr"])
+    want = {(a, b) for a, b in met if phone[a] == phone[b] or name_similarity(text[a], text[b]) >= 95 and size(text[a]) >= 2 and size(text[b]) >= 2}
+    for common in (1, 50):
+        got = {(r.a, r.b) for r in resolve.likely_pairs(resolve.with_vehicles(people), common=common).collect()}
+        assert want <= got <= met and len(want) > 300
+    ruled = resolve.classify_pairs(people).where("rule is not null")
+    assert {(r.a, r.b) for r in ruled.collect()} == want
+    assert resolve.classify_pairs(people.where("name like 'Zed Quux%'")).count() < 2000 < 150 * 149 / 2
+
+
 def seeded(spark):
     day = lambda m, d, h=10: dt.datetime(2023, m, d, h)
     rows = [("P1-A", "P1-B", "TRANSFER", day(7, 5), 250000.0), ("P1-B", "P1-C", "TRANSFER", day(7, 10, 11), 245000.0), ("P1-C", "P1-A", "TRANSFER", day(7, 15, 12), 248000.0)]
