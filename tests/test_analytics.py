@@ -34,6 +34,78 @@ def test_circular_flow(spark):
     assert [(x.edge_id, x.source_type) for x in got[0].evidence] == [(x, "BANK_TXN") for x in got[0].legs]
 
 
+def test_many_transfers_between_few_parties(spark):
+    """300 transfers for each of five legs make 300^5 cycles of one set."""
+    rows = [(f"P{k}", f"P{(k + 1) % 5}", "TRANSFER", at(0, hour), 1.0) for k in range(5) for hour in range(300)]
+    got = detect.circular_flow(make(spark, rows)).collect()
+    assert [(r.entity_ids, r.span_days, r.instances, r.legs) for r in got] == [([f"P{k}" for k in range(5)], 0, 300**5, [f"e{300 * k:04d}" for k in range(5)])]
+
+
+def test_cycles_by_brute_force(spark, monkeypatch):
+    """Cycles of transfers, some without a time and some of one id, against every path listed."""
+    import random
+
+    import numpy as np
+
+    from sleuthframe.operators import cycles
+
+    def listed(edges, least, most, width):
+        out, by = {}, {}
+        for e in edges:
+            by.setdefault(e[0], []).append(e)
+
+        def go(path, legs):
+            for e in by.get(path[-1], []):
+                own = [*legs, e]
+                ts = [x[2] for x in own if x[2] is not None]
+                if ts and max(ts) - min(ts) >= width:
+                    continue
+                if e[1] == path[0] and least <= len(own) <= most:
+                    key = ([x[3] for x in own], (min(ts), max(ts)) if ts else (-(10**9), -(10**9)))
+                    seen = out.setdefault(tuple(sorted(path)), [key, 0])
+                    seen[:] = min(seen[0], key), seen[1] + 1
+                elif e[1] > path[0] and e[1] not in path and len(own) < most:
+                    go([*path, e[1]], own)
+
+        for u in by:
+            go([u], [])
+        return {k: (*v[0], v[1]) for k, v in out.items()}
+
+    def drawn(rng, n, m, span, alike, unknown):
+        ids = [f"e{rng.randrange(6) if alike else k:03d}" for k in range(m)]
+        rng.shuffle(ids)
+        return [(*rng.sample([f"N{k}" for k in range(n)], 2), None if rng.random() < unknown else rng.randrange(-span, span), i) for i in ids]
+
+    def merged(rows):
+        out = {}
+        for r in rows:
+            key = (r["legs"], (r["low"], r["high"]) if r["low"] is not None else (-(10**9), -(10**9)))
+            seen = out.setdefault(tuple(r["ids"]), [key, 0])
+            seen[:] = min(seen[0], key), seen[1] + r["instances"]
+        return {k: (*v[0], v[1]) for k, v in out.items()}
+
+    rng, sets = random.Random(3), 0
+    for _ in range(150):
+        edges, width, most = drawn(rng, rng.choice([3, 5, 8]), rng.choice([20, 40]), rng.choice([5, 50]), rng.random() < 0.4, 0), rng.choice([3, 10, 40]), rng.choice([3, 4])
+        monkeypatch.setattr(cycles, "HELD", rng.choice([2, 10, 500_000]))
+        monkeypatch.setattr(cycles, "STARTS", rng.choice([1, 3, 62]))
+        rows = []
+        for part in range(2):
+            held = cycles.Slice([e[0] for e in edges], [e[1] for e in edges], np.array([e[2] for e in edges]), [e[3] for e in edges], width)
+            held.scan(-100, 100, 2, most, part, 2)
+            rows += [r for b in held.batches("C") for r in b.to_pylist()]
+        want = listed(edges, 2, most, width)
+        sets += len(want)
+        assert merged(rows) == want
+    assert sets > 300
+    monkeypatch.undo()
+    for alike in (False, True):
+        edges = drawn(rng, 6, 60, 30, alike, 0.1)
+        df = spark.createDataFrame([("C", *e) for e in edges], "case_id string, u string, v string, t long, id string")
+        want = listed(edges, 3, 4, 8)
+        assert merged(r.asDict() for r in cycles.cycle_sets(df, 3, 4, 8, windows=2, heavy=20).collect()) == want and len(want) > 5
+
+
 def test_hub_and_follow(spark):
     rows = [("H", f"P{k}", "CALLED", at(4 * k), None) for k in range(5)]
     assert [(r.node, r.peers, r.span_days, r.score) for r in detect.burner_hub(make(spark, rows)).collect()] == [("H", 5, 16, 1.0)]
