@@ -20,6 +20,7 @@ empty table gives no rows; other columns of the input are not read."""
 
 from __future__ import annotations
 
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -27,10 +28,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, default_tokenizer, encoder, shuffle_partitions, text_slices
+from .common import Scratch, default_tokenizer, encoder, give_back, shuffle_partitions, text_slices
 
 MAGIC, BLOCK, LANES = b"PFORIDS1", 256, 8
 NO_ID = -(1 << 63)
+READ_TOKENS = 1 << 24
 HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("zero", "u1"), ("exceptions", "<u2")])
 
 
@@ -163,12 +165,35 @@ class ShardReader:
             k = last + 1
 
 
+def row_slices(batches: Iterator, most: int = 256) -> Iterator:
+    """Cuts Arrow batches into so many rows, so that Python holds objects for a slice and not
+    a batch. Nothing is copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, most):
+            yield batch.slice(at, most)
+
+
+def narrow(ids: list[bytes]) -> tuple[bool, list[bytes]]:
+    """The same ids in two bytes each, or as they are (True) if one of them needs more."""
+    data = np.frombuffer(b"".join(ids), "<u4")
+    if data.max(initial=0) > 0xFFFF:
+        return True, ids
+    half, ends = data.astype("<u2").tobytes(), np.cumsum([0, *map(len, ids)]) // 2
+    return False, [half[a:b] for a, b in itertools.pairwise(ends.tolist())]
+
+
+def widen(ids: bytes) -> bytes:
+    return np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, percentile: float = 0.9, shards: int | None = None) -> DataFrame:
     """Writes shard files in ascending id order and returns their manifest (shard, file,
-    documents, tokens), itself a written table in ``folder``.
+    documents, tokens), itself a written table of one file in ``folder``. The driver handles a
+    row per shard file.
 
     Shard borders are quantiles of the ids, from a scan of that column alone; a run of one id
-    is not cut, but ids are what identifies documents, so runs are short."""
+    is not cut, but ids are what identifies documents, so runs are short. Token ids are
+    shuffled in two bytes each, in four where a slice of the texts has one beyond 65535."""
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     shards = shards or max(8, shuffle_partitions(spark))
@@ -180,10 +205,11 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         import pyarrow as pa
 
         enc, end = encoder(path), end_id.to_bytes(4, "little")
-        for keys, texts in text_slices(batches):
-            ids = [x + end for x in enc.encode(texts)]
+        for keys, texts in text_slices(row_slices(batches)):
+            wide, ids = narrow([x + end for x in enc.encode(texts)])
             shard = [0 if k is None else int(np.searchsorted(edges, k)) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(keys, pa.int64()), pa.array([zlib.crc32((t or "").encode()) for t in texts], pa.int64()), pa.array(ids, pa.binary())], names=["shard", "doc_id", "tie", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(keys, pa.int64()), pa.array([zlib.crc32((t or "").encode()) for t in texts], pa.int64()), pa.array([wide] * len(ids), pa.bool_()), pa.array(ids, pa.binary())], names=["shard", "doc_id", "tie", "wide", "ids"])
+        give_back()
 
     def written(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -196,33 +222,39 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         name = f"{base}/shard-{task.partitionId():06d}.pfor"
         draft = f"{name}.{task.taskAttemptId()}"
         out = writer = None
-        for batch in batches:
-            for key, ids in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+        for batch in row_slices(batches):
+            for key, wide, ids in zip(*(batch.column(k).to_pylist() for k in (1, 3, 4)), strict=True):
                 if writer is None:
                     out = where.open_output_stream(draft)
                     writer = ShardWriter(out, percentile)
-                writer.add(key, ids)
+                writer.add(key, ids if wide else widen(ids))
         if writer is not None:
             writer.close()
             out.close()
             where.move(draft, name)
             yield pa.RecordBatch.from_pylist([{"shard": task.partitionId(), "file": name, "documents": len(writer.keys), "tokens": writer.tokens}], schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
-    dealt = own.mapInArrow(encoded, "shard int, doc_id long, tie long, ids binary").repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    manifest = dealt.mapInArrow(written, "shard int, file string, documents long, tokens long")
+    dealt = own.mapInArrow(encoded, "shard int, doc_id long, tie long, wide boolean, ids binary").repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    made = dealt.mapInArrow(written, "shard int, file string, documents long, tokens long")
+    manifest = spark.createDataFrame(sorted(made.collect()), made.schema).coalesce(1)
     manifest.write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document, read back from the files; start
-    counts the ids of all documents before it, over all shards. The driver handles a row per
-    shard file."""
+    counts the ids of all documents before it, over all shards. A task reads neighbouring
+    files of READ_TOKENS ids together (or one file), of fewer ids where cores would idle. The
+    driver handles a row per shard file."""
     spark = manifest.sparkSession
-    rows, base = [], 0
-    for r in sorted(manifest.collect()):
-        rows.append((r.file, base))
-        base += r.tokens
+    found = sorted(manifest.collect())
+    most = min(READ_TOKENS, sum(r.tokens for r in found) // spark.sparkContext.defaultParallelism)
+    rows, base, tasks, held = [], 0, 0, 0
+    for r in found:
+        if held and held + r.tokens > most:
+            tasks, held = tasks + 1, 0
+        rows.append((tasks, r.file, base))
+        base, held = base + r.tokens, held + r.tokens
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -242,9 +274,10 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                             held, size = [], 0
                     if held:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+        give_back()
 
-    files = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, file string, base long")
-    return files.repartitionById(max(1, len(rows)), F.col("n")).select("file", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    files = spark.createDataFrame(rows, "n int, file string, base long")
+    return files.repartitionById(tasks + 1, F.col("n")).select("file", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op8_token_files(spark, sf_dir: str) -> DataFrame:

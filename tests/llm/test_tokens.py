@@ -147,6 +147,60 @@ def test_token_files(spark):
         at += r.n_tokens
 
 
+def test_token_files_shuffle_two_bytes_an_id(spark):
+    """Ids of random letters hardly compress, so the shuffle's bytes are those of the ids."""
+    r = random.Random(8)
+    texts = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz    ", k=20_000)) for _ in range(40)]
+    want, folder = library(texts, 1), Scratch(spark, "test").root
+    docs, sc = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.sparkContext
+    sc.setJobGroup("two-bytes", "")
+    manifest = token_files.write_token_files(docs, folder)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup("two-bytes") for s in sc.statusTracker().getJobInfo(j).stageIds}
+    store = sc._jsc.sc().statusStore()
+    shuffled = sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages)
+    assert 0 < shuffled < 2.5 / 4 * sum(map(len, want))
+    assert [bytes(x.ids) for x in sorted(token_files.read_token_files(manifest, folder).collect())] == want
+
+
+def test_few_files_for_a_manifest_and_few_tasks_to_read(spark, monkeypatch):
+    docs = spark.range(900).selectExpr("id AS doc_id", "repeat('some words ', int(1 + id % 50)) AS text")
+    folder = Scratch(spark, "test").root
+    manifest = token_files.write_token_files(docs, folder, shards=40)
+    assert manifest.count() == 40 and len(manifest.inputFiles()) == 1
+    whole = token_files.read_token_files(manifest, folder)
+    assert whole.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < 40
+    monkeypatch.setattr(token_files, "READ_TOKENS", 1)
+    single = token_files.read_token_files(manifest, folder)
+    assert single.rdd.getNumPartitions() == 40
+    rows, at = sorted(whole.collect()), 0
+    assert rows == sorted(single.collect()) and len(rows) == 900
+    for r in rows:
+        assert r.start == at
+        at += r.n_tokens
+
+
+@pytest.mark.parametrize("end", [65_535, 65_536, 2**32 - 1])
+def test_token_files_with_ids_beyond_two_bytes(spark, end):
+    folder = Scratch(spark, "test").root
+    manifest = token_files.write_token_files(spark.createDataFrame(ROWS[:5], COLUMNS), folder, end_id=end)
+    got = {r.doc_id: bytes(r.ids) for r in token_files.read_token_files(manifest, folder).collect()}
+    assert got == dict(zip([r[0] for r in ROWS[:5]], library([r[1] for r in ROWS[:5]], end), strict=True))
+
+
+def test_batches_are_taken_in_slices():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["x" * 10_000] * 3000)], names=["a", "b"])
+    tracemalloc.start()
+    rows = sum(len(texts) for _, texts in token_files.text_slices(token_files.row_slices([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and most < 8e6
+
+
 def test_any_range_of_a_shard(spark, tmp_path):
     from pyarrow import fs
 
